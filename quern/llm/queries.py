@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, language, near, tokenfile, toxicity
+from quern.llm import bpe, chat, decontaminate, language, media, near, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
     "op2_token_files": tokenfile.query,
+    "op3_url_filter": urls.query,
     "op4_language_id": language.query,
+    "op5_chat_repair": chat.query,
     "op6_bpe": bpe.query,
     "op7_near_duplicates": near.query,
     "op8_toxicity": toxicity.query,
+    "op9_png_columns": media.query,
+    "op10_warc_derivatives": warc.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": urls.ORACLE_SQL}
