@@ -12,10 +12,13 @@ A file's name is its writer's own; the manifest, a table that Spark commits, nam
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +34,8 @@ from quern.llm.shared import arrow_map, blocks, scratch, table, written
 
 END_ID = 2
 FRAME_IDS = 1 << 20
+#: Distinct pieces that the library gets at once, and those whose ids a worker remembers.
+TOGETHER, KNOWN = 20_000, 700_000
 LEVEL = 3
 #: Fixed values of the public formats: a skippable frame of ours, that of a seek table, and the table's last bytes.
 SKIP_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -38,20 +43,45 @@ INDEX_MARK = b"QDX1"
 
 
 class LibraryEncoder(bpe.Encoder):
-    """The tokenizers library's ids; it encodes each distinct piece of its pattern once."""
+    """The tokenizers library's ids, as bytes; it encodes each distinct piece of its pattern once.
+
+    The pattern leaves a piece alone in one piece, and merges never cross pieces, so a text's ids are its pieces' ids.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
         from tokenizers import Tokenizer
 
         super().__init__(bpe.vocabulary(path))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int64, sizes.sum()), sizes
+        self.width, self.kind = (2, "H") if len(self.voc.bytes) <= 1 << 16 else (4, "I")
+        self.packed: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), TOGETHER):
+            some = pieces[i : i + TOGETHER]
+            for p, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.packed[p] = array(self.kind, x.ids).tobytes()
+
+    def pack(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.pieces(t) if t else [] for t in texts]
+        if len(self.packed) > KNOWN:
+            self.packed.clear()
+        new = list(set().union(*cut) - self.packed.keys())
+        self.learn(new)
+        out = [b"".join(map(self.packed.__getitem__, c)) for c in cut]
+        for p in new:
+            if len(p) > bpe.KNOWN_CHARS:
+                del self.packed[p]
+        return out
+
+
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for all tasks of a worker."""
+    return LibraryEncoder(path)
 
 
 class FrameWriter:
@@ -71,15 +101,16 @@ class FrameWriter:
         self.size += len(packed)
         self.entries.append(struct.pack("<III", len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
-        data = np.asarray(ids, f"<u{self.width}")
-        cuts = range(0, max(1, len(data)), FRAME_IDS)
+    def add(self, doc_id: int | None, data: bytes) -> None:
+        """data: the ids, each of `width` bytes."""
+        step = FRAME_IDS * self.width
+        cuts = range(0, max(1, len(data)), step)
         for i in cuts:
-            self.frame(data[i : i + FRAME_IDS].tobytes())
+            self.frame(data[i : i + step])
         self.ids.append(doc_id)
         self.frames.append(len(cuts))
-        self.counts.append(len(data))
-        self.tokens += len(data)
+        self.counts.append(len(data) // self.width)
+        self.tokens += len(data) // self.width
 
     def close(self) -> None:
         n = len(self.ids)
@@ -157,8 +188,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        encoder = LibraryEncoder(path)
-        width = 2 if max(len(encoder.voc.bytes), (end_id or 0) + 1) <= 1 << 16 else 4
+        encoder = library_encoder(path)
+        end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
         part = TaskContext.get().partitionId()
         name, writer, out = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.zst", None, None
         for ids, texts in blocks(batches):
@@ -166,9 +197,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
                 system, at = fs.FileSystem.from_uri(name)
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(at, compression=None)
-                writer = FrameWriter(out, width)
-            for i, x in zip(ids, encoder.encode(texts), strict=True):
-                writer.add(i, x if end_id is None else [*x, end_id])
+                writer = FrameWriter(out, encoder.width)
+            for i, x in zip(ids, encoder.pack(texts), strict=True):
+                writer.add(i, x + end)
         if writer is not None:
             writer.close()
             out.close()
