@@ -34,14 +34,27 @@ from quern.llm.shared import arrow_map, blocks, scratch, table, written
 
 END_ID = 2
 FRAME_IDS = 1 << 20
-#: Distinct pieces that the library gets at once, and those whose ids a worker remembers.
-TOGETHER, KNOWN = 20_000, 700_000
+#: Distinct pieces whose ids a worker remembers, some 200 bytes each.
+KNOWN = 1_500_000
 LEVEL = 3
 #: Fixed values of the public formats: a skippable frame of ours, that of a seek table, and the table's last bytes.
 SKIP_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_MARK = b"QDX1"
 
 
+class Packed(dict):
+    """The ids of pieces as bytes; a missing one is encoded by the library and, unless it is long, kept."""
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        self.encode, self.kind = tokenizer.encode_batch_fast, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.kind, self.encode([piece], add_special_tokens=False)[0].ids).tobytes()
+        if len(piece) <= bpe.KNOWN_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class LibraryEncoder(bpe.Encoder):
     """The tokenizers library's ids, as bytes; it encodes each distinct piece of its pattern once.
 
@@ -57,25 +70,12 @@ class LibraryEncoder(bpe.Encoder):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width, self.kind = (2, "H") if len(self.voc.bytes) <= 1 << 16 else (4, "I")
-        self.packed: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), TOGETHER):
-            some = pieces[i : i + TOGETHER]
-            for p, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.packed[p] = array(self.kind, x.ids).tobytes()
+        self.packed = Packed(self.tokenizer, self.kind)
 
     def pack(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.packed) > KNOWN:
             self.packed.clear()
-        new = list(set().union(*cut) - self.packed.keys())
-        self.learn(new)
-        out = [b"".join(map(self.packed.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > bpe.KNOWN_CHARS:
-                del self.packed[p]
-        return out
+        return [b"".join(map(self.packed.__getitem__, self.pieces(t))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -225,7 +225,8 @@ def read(manifest: DataFrame) -> DataFrame:
                         crc = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in some]
                         yield {"doc_id": reader.ids[i : i + 2000], "start": pa.array(starts[i : i + 2000]), "n_tokens": pa.array(reader.counts[i : i + 2000]), "ids_crc32": crc, "path": [path] * len(some)}
 
-    return arrow_map(files.repartition("path"), work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, path string")
+    spread = min(max(1, manifest.count()), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return arrow_map(files.repartition(spread, "path"), work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, path string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
