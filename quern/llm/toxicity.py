@@ -13,9 +13,11 @@ share of toxic labels seen (0 if none).
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from quern.llm.shared import held_out, table
 MOST_TAUGHT = 6000
 #: Documents of the sample that must hold a feature before it gets a weight.
 LEAST_DOCS = 4
+#: Hashed counters that pass over the features of too few documents.
+COUNTERS = 1 << 22
 STEPS, RATE, PENALTY = 160, 0.15, 2e-4
 #: The contract's cut for a document, and ours for naming a sentence.
 CUT, SENTENCE_CUT = 0.3, 0.3
@@ -60,14 +64,25 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -30.0, float(y.mean()) if len(y) else 0.0)
-    bags = [[sorted(features(WORD.findall(s))) for s in SENTENCE.findall((t or "").lower())] for t in texts]
-    seen = Counter(w for bag in bags for w in {w for s in bag for w in s})
+    # two looks at the texts: the words as such are never all held
+    counts = np.zeros(COUNTERS, np.uint16)
+    for t in texts:
+        counts[np.unique([crc32(w.encode("utf-8", "surrogatepass")) % COUNTERS for w in features(WORD.findall((t or "").lower()))]).astype(np.int64)] += 1
+    seen: Counter[str] = Counter()
+    for t in texts:
+        seen.update(w for w in features(WORD.findall((t or "").lower())) if counts[crc32(w.encode("utf-8", "surrogatepass")) % COUNTERS] >= LEAST_DOCS)
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
-    bags = [[[vocabulary[w] for w in s if w in vocabulary] for s in bag] for bag in bags]
-    doc = np.fromiter((i for i, bag in enumerate(bags) for _ in bag), np.int64)
-    flat = [s for bag in bags for s in bag]
-    sent = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    word = np.fromiter((w for s in flat for w in s), np.int64, len(sent))
+    del seen, counts
+    words, sizes, docs = array("i"), array("i"), array("i")
+    for i, t in enumerate(texts):
+        for s in SENTENCE.findall((t or "").lower()):
+            held = sorted(vocabulary[w] for w in features(WORD.findall(s)) if w in vocabulary)
+            words.extend(held)
+            sizes.append(len(held))
+            docs.append(i)
+    doc, flat = np.frombuffer(docs, np.int32), range(len(docs))
+    sent = np.repeat(np.arange(len(flat), dtype=np.int32), np.frombuffer(sizes, np.int32))
+    word = np.frombuffer(words, np.int32)
     # theta: the words' weights, the sentence bias, the logit of p0
     theta = np.zeros(len(vocabulary) + 2)
     theta[-2], theta[-1] = -5.0, np.log(y.mean() / (1 - y.mean())) - 0.5
