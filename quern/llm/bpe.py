@@ -15,7 +15,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import arrow_map, blocks, table
 
 #: Pieces whose ids a worker remembers between blocks, and characters of those that it does.
-KNOWN_PIECES, KNOWN_CHARS = 400_000, 64
+KNOWN_PIECES, KNOWN_CHARS = 300_000, 64
 END = -1
 #: Texts of these characters alone are cut by the standard library's faster engine; its classes below are those of the
 #: pattern within them (letters up to U+024F, digits with superscripts and fractions).
@@ -156,10 +156,12 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndar
 
 
 class Encoder:
-    """Encodes texts; it remembers pieces up to KNOWN_PIECES."""
+    """Encodes texts.  Of each piece it keeps what `form` makes of its ids, up to KNOWN_PIECES of them."""
 
-    def __init__(self, voc: Vocabulary) -> None:
-        self.voc, self.known = voc, {}
+    def __init__(self, voc: Vocabulary, form: Callable[[list[int]], object] = tuple) -> None:
+        self.voc, self.form = voc, form
+        self.known: dict[str, object] = {}
+        self.long: list[str] = []
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return merge_all([p.encode("utf-8", "surrogatepass") for p in pieces], self.voc)
@@ -172,28 +174,28 @@ class Encoder:
             return self.plain_pieces(text)
         return [p for part in self.voc.cut.split(text) for p in ([part] if part in self.voc.special else self.plain_pieces(part))]
 
-    def block(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
-        """The texts' pieces, and the ids of each piece."""
+    def block(self, texts: list[str | None]) -> list[list]:
+        """What is kept of each piece of each text."""
         cut = [self.pieces(t) if t else [] for t in texts]
+        for p in self.long:
+            del self.known[p]
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        new = sorted({p for c in cut for p in c} - self.known.keys())
-        ids = dict(self.known) if any(len(p) > KNOWN_CHARS for p in new) else self.known
+        new = sorted(set().union(*cut) - self.known.keys())
+        self.long = [p for p in new if len(p) > KNOWN_CHARS]
         plain = [p for p in new if p not in self.voc.special]
         flat, sizes = self.merged(plain)
-        flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
-        for p, i, j in zip(plain, [0, *ends], ends, strict=False):
-            ids[p] = tuple(flat[i:j])
-            if ids is not self.known and len(p) <= KNOWN_CHARS:
-                self.known[p] = ids[p]
+        start = 0
+        for p, n in zip(plain, sizes.tolist(), strict=True):
+            self.known[p] = self.form(flat[start : start + n].tolist())
+            start += n
         for p in new:
             if p in self.voc.special:
-                ids[p] = (self.voc.special[p],)
-        return cut, ids
+                self.known[p] = self.form([self.voc.special[p]])
+        return [list(map(self.known.__getitem__, c)) for c in cut]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut, ids = self.block(texts)
-        return [[i for p in c for i in ids[p]] for c in cut]
+        return [[i for ids in text for i in ids] for text in self.block(texts)]
 
 
 def decode(ids: list[int], voc: Vocabulary) -> str:
@@ -231,16 +233,10 @@ def digests(docs: DataFrame, path: str | None = None, id_: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         voc = vocabulary(path)
-        encoder = Encoder(voc)
-        shown: dict[str, tuple[int, bytes, bytes]] = {}
+        # of each piece: how many ids, the ids as text, and the bytes that they decode to
+        encoder = Encoder(voc, lambda ids: (len(ids), ",".join(map(str, ids)).encode(), b"".join(map(voc.bytes.__getitem__, ids))))
         for docs_, texts in blocks(batches):
-            cut, ids = encoder.block(texts)
-            if len(shown) > KNOWN_PIECES:
-                shown.clear()
-            mine = dict(shown) if len(ids) > len(encoder.known) else shown
-            for p in {p for c in cut for p in c} - mine.keys():
-                mine[p] = (len(ids[p]), ",".join(map(str, ids[p])).encode(), b"".join(map(voc.bytes.__getitem__, ids[p])))
-            rows = [list(map(mine.__getitem__, c)) for c in cut]
+            rows = encoder.block(texts)
             yield {
                 "doc_id": docs_,
                 "n_tokens": [sum(x[0] for x in r) for r in rows],
