@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import arrow_map, blocks, held_out, table
+from quern.llm.shared import arrow_map, blocks, held_out, short_batches, table
 
 #: N-grams in a profile, and of a text that are compared.
 RANKS = 300
@@ -148,6 +148,7 @@ def judged(text: str | None, profiles: Profiles, ranks: int = RANKS) -> tuple[st
 
 def predictor(spark: SparkSession, profiles: Profiles):
     """A column function: text -> struct(lang_pred, score).  The profiles are RANKS numbers a language."""
+    short_batches(spark)
     held = spark.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang_pred string, score double")

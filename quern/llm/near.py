@@ -40,7 +40,7 @@ FIRST_BANDS = 4
 #: Rounds with other hubs at most; they end with the first that links nothing.
 ROUNDS = 6
 #: Words whose hashes a worker remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 WORD = re.compile(r"\w+")
 #: A broadcast set of hashed ids has this many values at most.
 ID_BUCKETS = 1 << 18

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Texts that a worker holds as Python objects at one time, in characters (one longer text is taken alone).
 BLOCK_CHARS = 4 << 20
+BATCH_ROWS = 2000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS texts, unless the session has a number of its own: batches are cut by rows alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
@@ -40,6 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +74,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     """mapInArrow for a worker that yields dicts of columns; schema is Spark's DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    short_batches(df.sparkSession)
     to = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import held_out, table
+from quern.llm.shared import held_out, short_batches, table
 
 #: Labelled documents that the classifier is fitted on at most; they are the first by a hash of the id.
-MOST_TAUGHT = 6000
+MOST_TAUGHT = 3000
 #: Documents of the sample that must hold a feature before it gets a weight.
 LEAST_DOCS = 4
 #: Hashed counters that pass over the features of too few documents.
@@ -143,6 +143,7 @@ def judged(text: str | None, model: Model) -> tuple[float, list[dict]]:
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text -> struct(score, offending).  The model's words come from the bounded sample."""
+    short_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, offending array<struct<start: int, end: int, score: double>>")
