@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from quern.llm.shared import arrow_map, blocks, table
 
 #: Pieces whose ids a worker remembers between blocks, and characters of those that it does.
-KNOWN_PIECES, KNOWN_CHARS = 300_000, 64
+KNOWN_PIECES, KNOWN_CHARS = 150_000, 64
 END = -1
+#: Characters of texts whose new pieces are merged together.
+BLOCK = 3 << 20
 #: Texts of these characters alone are cut by the standard library's faster engine; its classes below are those of the
 #: pattern within them (letters up to U+024F, digits with superscripts and fractions).
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
@@ -235,7 +237,7 @@ def digests(docs: DataFrame, path: str | None = None, id_: str = "doc_id", text:
         voc = vocabulary(path)
         # of each piece: how many ids, the ids as text, and the bytes that they decode to
         encoder = Encoder(voc, lambda ids: (len(ids), ",".join(map(str, ids)).encode(), b"".join(map(voc.bytes.__getitem__, ids))))
-        for docs_, texts in blocks(batches):
+        for docs_, texts in blocks(batches, most=BLOCK):
             rows = encoder.block(texts)
             yield {
                 "doc_id": docs_,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import arrow_map, blocks, table, written
+from quern.llm.shared import arrow_map, blocks, give_back, table, written
 
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
@@ -206,6 +206,7 @@ def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
                 break
             continue
         links.append(new)
+        give_back()
         labels = components(reduce(DataFrame.unionByName, links))
     member = signed.select("id", "copy").join(nodes, "copy")
     if labels is None:

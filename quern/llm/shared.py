@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +73,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_C
             yield [c.to_pylist() for c in batch.slice(start).columns]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers and the driver live on after a stage, and others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow for a worker that yields dicts of columns; schema is Spark's DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -80,5 +91,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in work(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f in to for x in [columns[f.name]]], schema=to)
+            del columns
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import held_out, short_batches, table
+from quern.llm.shared import give_back, held_out, short_batches, table
 
 #: Labelled documents that the classifier is fitted on at most; they are the first by a hash of the id.
 MOST_TAUGHT = 3000
@@ -117,7 +117,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT) -> Model:
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "label", "text").toPandas()
     rows = rows.sort_values(["id", "text"]).drop_duplicates("id")
-    return fit(rows.text.tolist(), rows.label.tolist())
+    model = fit(rows.text.tolist(), rows.label.tolist())
+    del rows
+    give_back()
+    return model
 
 
 def judged(text: str | None, model: Model) -> tuple[float, list[dict]]:
