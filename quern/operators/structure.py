@@ -63,7 +63,7 @@ def pragmas(lines: DataFrame) -> DataFrame:
     by = Window.partitionBy("path").orderBy("line")
     rows = rows.withColumn("last_said", F.last("said", ignorenulls=True).over(by)).withColumn("last_code", F.last(F.when(F.col("code"), F.col("line")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.where(F.col("code") & F.col("last_said").isNotNull() & (F.col("last_code").isNull() | (F.col("last_said.at") > F.col("last_code"))))
-    metrics = F.transform(F.split("last_said.metrics", ","), F.trim)
+    metrics = F.transform(F.split("last_said.metrics", ","), lambda x: F.trim(x))
     return rows.select("path", "line", F.explode(metrics).alias("metric"), F.col("last_said.reason").alias("reason"))
 
 
@@ -163,7 +163,7 @@ def carried_forward(rows: DataFrame, group: str, order: list[str], value: str) -
 
 def ordered_distinct(text: Column, default: list[str]) -> Column:
     """The distinct names of a comma-separated list in the order first seen; the default if there is none."""
-    names = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != ""))
+    names = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.size(names) == 0, F.array(*map(F.lit, default))).otherwise(names)
 
 

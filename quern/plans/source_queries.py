@@ -1,10 +1,72 @@
-"""Queries of source scans on the driver's tables."""
+"""Queries of source scans on the driver's tables: documents as files, their words as the code.
+
+Parsing has no SQL twin; the tests hold these against authored sources.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.plans import bindings as b
+from quern.sources import pycode, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier is a Python module of its nation's package that imports the modules of the graph binding."""
+    node = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("pkg"))
+    e = b.module_edges(spark, sf_dir).join(node.select(F.col("id").alias("dst"), F.col("pkg").alias("dst_pkg")), "dst")
+    line = F.concat(F.lit("from "), F.col("dst_pkg"), F.lit(" import "), F.col("dst"))
+    head = e.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("head"))
+    body = F.concat(F.lit("\nimport os, sys as system\n\nclass C(Protocol):\n    def run(self, a, b):\n        for x in a:\n            if x:\n                return b\n"), F.when(F.col("id").endswith("7"), "broken(\n").otherwise(""))
+    rows = node.join(head, "id", "left")
+    return rows.select(F.concat("pkg", F.lit("/"), "id", F.lit(".py")).alias("path"), F.concat(F.coalesce("head", F.lit("")), body).alias("text"))
+
+
+@query()
+def s_python_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.records(python_files(spark, sf_dir)).select("path", "id", "loc", "types", "abstract", F.array_join("raw", ",").alias("raw"), F.array_join("raw_maybe", ",").alias("raw_maybe"), "unparseable")
+
+
+@query(f"WITH {b.GRAPH_SQL}, m AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey || '.s' || s_suppkey AS name FROM supplier) SELECT a.name AS src, z.name AS dst, 1::BIGINT AS weight FROM edges e JOIN m a ON a.id = e.src JOIN m z ON z.id = e.dst WHERE NOT ends_with(e.src, '7')")
+def s_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imports of the modules, scanned and resolved, give the graph again; modules that can't be parsed have none."""
+    return scan.edges(scan.resolved(scan.nodes(scan.records(python_files(spark, sf_dir)))))
+
+
+@query()
+def s_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pycode.measures(python_files(spark, sf_dir))
+
+
+@query()
+def l_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pycode.lint(python_files(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN regexp_matches(p_name, 'e') THEN 'ts' WHEN regexp_matches(p_name, 'a') THEN 'go' END AS lang, count(*) AS n FROM part GROUP BY 1")
+def s_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_name").contains("e"), "x/y.tsx").when(F.col("p_name").contains("a"), "x.go").otherwise("x.txt")
+    return b.table(spark, sf_dir, "part").select(scan.language(name).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN n_chars > 5000 THEN 'too large' WHEN lang = 'fr' THEN 'other language' END AS refused, count(*) AS n FROM documents GROUP BY 1")
+def s_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document counts a thousand bytes for each character; French ones have no known extension."""
+    d = b.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".txt").otherwise(".py")).alias("path"), F.when(F.col("n_chars") > 5000, scan.MOST_BYTES + 1).otherwise(F.col("n_chars")).alias("length"))
+    return scan.admitted(d).groupBy("refused").agg(F.count("*").alias("n"))
