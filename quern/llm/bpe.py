@@ -138,9 +138,12 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndar
     while active:
         r = heapq.heappop(active)
         found = lists.pop(r)
-        at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+        at = np.concatenate(found) if len(found) > 1 else found[0]
         a, b = voc.left[r], voc.right[r]
         at = at[alive[at] & (symbol[at] == a) & (symbol[after[at]] == b)]  # else an earlier merge has taken a part
+        if len(at) > 1:
+            at.sort()
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
         if a == b and len(at) > 1:
             at = at[not_overlapping(at, np.concatenate(([False], after[at[:-1]] == at[1:])))]
         if not len(at):
@@ -152,7 +155,7 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndar
         after[at] = nxt
         inner = nxt < n
         before[nxt[inner]] = at[inner]
-        enlist(np.union1d(before[at], at))
+        enlist(np.concatenate((before[at], at)))
     kept = np.flatnonzero(alive[:n])
     return symbol[kept], np.bincount(owner[kept], minlength=len(pieces))
 
