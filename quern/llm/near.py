@@ -11,7 +11,10 @@ connected component of links.
 Copies (equal word sequences, null and wordless texts as the empty sequence) fall in one class before any banding, so
 that a group of copies costs no comparison.  In a band's bucket of up to SMALL texts all pairs are compared.  In a
 larger one every text is compared with one hub, in rounds with other hubs each, as long as a round links texts of
-different classes; so a bucket of n texts costs n comparisons a round and no text is left out.
+different classes; so a bucket of n texts costs n comparisons a round, and large groups fall in one class early.  The
+texts of larger buckets that still hold several classes go through an exact join (`rest_pairs`): of two texts with a
+similarity of LEAST, each holds one of the other's rarest shingles, as many as its size and LEAST allow to differ plus
+one, so all pairs of different classes that share such a shingle are compared.
 
 Rows with a null id get a null class and match nothing.  Rows that share an id count as one document.
 """
@@ -37,8 +40,10 @@ SHINGLE, LEAST = 5, 0.8
 SMALL = 8
 #: Bands whose hubs are compared first; the links found there spare most other comparisons.
 FIRST_BANDS = 4
-#: Rounds with other hubs at most; they end with the first that links nothing.
+#: Rounds with other hubs at most; they end with the first that links nothing, and the exact join takes the rest.
 ROUNDS = 6
+#: Texts of a frequent shingle that meet in one block of the exact join.
+BLOCK = 1000
 #: Words whose hashes a worker remembers.
 KNOWN_WORDS = 200_000
 WORD = re.compile(r"\w+")
@@ -163,6 +168,34 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     return both.where(small >= least * large).where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def mixed_nodes(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the texts of large buckets that hold more than one class."""
+    rows = met.where(F.col("n") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keys = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    return rows.join(keys, "key", "left_semi").select("node", "label").distinct()
+
+
+def rest_pairs(nodes: DataFrame, sets: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """The pairs (a < b) of nodes (node, label) with different labels that may have a similarity of `least`: all that do are here.
+
+    A frequent shingle's texts are cut in blocks, and each two blocks meet in a group of their own.
+    """
+    own = sets.join(nodes, F.col("id") == F.col("node")).select("node", "label", F.size("shingles").alias("size"), "shingles")
+    each = own.select("node", "label", "size", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "shingle").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    rare = F.slice("all", F.lit(1), F.col("size") - F.ceil(least * F.col("size") - 1e-9).cast("int") + 1)
+    rows = written(ranked.select("node", "label", "size", F.explode(rare).alias("x")).where("x.n > 1").select("node", "label", "size", F.col("x.shingle").alias("shingle")), "rare")
+    keys = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    cut = rows.join(keys.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("parts")), "shingle")
+    own_part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    cut = cut.withColumn("part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = cut.select("shingle", F.col("part").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))
+    right = cut.select("shingle", F.col("other").alias("i"), F.col("part").alias("j"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    return left.join(right, ["shingle", "i", "j"]).where(near).select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all ends of edges (a, b): the label is the least node of the connected component.
 
@@ -208,6 +241,12 @@ def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
         links.append(new)
         give_back()
         labels = components(reduce(DataFrame.unionByName, links))
+    known = met.select("node", F.col("node").alias("label")).distinct() if labels is None else labels
+    rest = written(mixed_nodes(met, known), "rest")
+    if rest.limit(1).count():
+        links.append(written(linked(rest_pairs(rest, sets), sets), "links"))
+        give_back()
+        labels = components(reduce(DataFrame.unionByName, links))
     member = signed.select("id", "copy").join(nodes, "copy")
     if labels is None:
         return member.select("id", F.col("node").alias("class"))

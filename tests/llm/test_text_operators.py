@@ -218,6 +218,41 @@ def test_large_buckets_keep_their_links(spark):
     assert got == brute_classes(texts, range(len(texts)))
 
 
+def chained(r, groups, each):
+    """Texts that share one long passage, in groups whose own parts drift step by step: hubs alone lose some links."""
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for _ in range(groups):
+        own = [f"o{r.randrange(10**6)}" for _ in range(60)]
+        for _ in range(each):
+            own[r.randrange(len(own))] = f"d{r.randrange(10**6)}"
+            own[r.randrange(len(own))] = f"d{r.randrange(10**6)}"
+            texts.append(" ".join(passage + own))
+    return texts
+
+
+def test_texts_that_hubs_leave_apart_are_joined_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near, "ROUNDS", 1)
+    texts = chained(random.Random(4), 12, 8)
+    got = {x.id: x["class"] for x in near.classes(documents(spark, texts)).collect()}
+    assert got == brute_classes(texts, range(len(texts)))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_exact_join_pairs_hold_all_similar_ones(spark, block):
+    texts = chained(random.Random(6), 6, 8)
+    words = near.WordHashes()
+    with np.errstate(over="ignore"):
+        rows = [(i, np.unique((near.shingles(near.word_hashes(t, words)) >> np.uint64(32)).astype(np.uint32).view(np.int32)).tolist()) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame(rows, "id bigint, shingles array<int>")
+    nodes = spark.createDataFrame([(i, i % 40) for i in range(len(texts))], "node bigint, label bigint")
+    got = [(x.a, x.b) for x in near.rest_pairs(nodes, sets, block=block).collect()]
+    held = {x["id"]: set(x["shingles"]) for x in sets.collect()}
+    need = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 40 != b % 40 and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    assert need and need <= set(got) and len(got) == len(set(got)) and all(a < b and a % 40 != b % 40 for a, b in got)
+    assert near.rest_pairs(nodes.limit(0), sets).count() == 0
+
+
 def test_prob_min_hash_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     shingle = r.integers(1, 2**62, 60).astype(np.uint64)
