@@ -233,3 +233,40 @@ def ownership(changes: DataFrame, minor: float) -> DataFrame:
     by = changes.groupBy("path", "author").agg(F.count_distinct("sha").alias("commits"))
     share = F.col("commits") / F.sum("commits").over(Window.partitionBy("path"))
     return by.select("path", "author", "commits", F.bround(share, 4).alias("share"), (share < minor).alias("minor"))
+
+
+def implicit_dependencies(pairs: DataFrame, package: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """a, b, shared of pairs (a, b, shared) in different packages (path, package) that make up more than `share` of the
+    co-changes of each of the two files."""
+    both = pairs.select(F.col("a").alias("path"), "shared").unionByName(pairs.select(F.col("b").alias("path"), "shared"))
+    total = both.groupBy("path").agg(F.sum("shared").alias("total"))
+    rows = pairs.where(F.col("shared") >= least)
+    for end in ("a", "b"):
+        facts = total.join(package, "path").select(F.col("path").alias(end), F.col("total").alias(f"t{end}"), F.col("package").alias(f"p{end}"))
+        rows = rows.join(facts, end)
+    return rows.where((F.col("pa") != F.col("pb")) & (F.col("shared") > share * F.col("ta")) & (F.col("shared") > share * F.col("tb"))).select("a", "b", "shared")
+
+
+def unlinked_pairs(pairs: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
+    """a, b, shared of co-changing pairs that no edge (src, dst) joins either way."""
+    ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return pairs.where(F.col("shared") >= least).join(ends, ["a", "b"], "left_anti")
+
+
+def unstable_interfaces(pairs: DataFrame, edges: DataFrame, impact: int = 10, least: int = 3) -> DataFrame:
+    """path, dependents, overlap: more than `impact` dependents, more than `impact` of which co-change with it."""
+    often = pairs.where(F.col("shared") >= least)
+    met = often.select(F.col("a").alias("dst"), F.col("b").alias("src")).unionByName(often.select(F.col("b").alias("dst"), F.col("a").alias("src"))).withColumn("met", F.lit(1))
+    rows = edges.where("src <> dst").select("src", "dst").distinct().join(met, ["src", "dst"], "left")
+    found = rows.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("dependents"), F.count("met").alias("overlap"))
+    return found.where((F.col("dependents") > impact) & (F.col("overlap") > impact))
+
+
+def crossings(pairs: DataFrame, edges: DataFrame, degree: int = 4, least: int = 3) -> DataFrame:
+    """path, fan_in, fan_out: both at least `degree`, and co-changes on both sides."""
+    often = pairs.where(F.col("shared") >= least).select("a", "b")
+    one = edges.where("src <> dst").select("src", "dst").distinct().withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
+    one = one.join(often.withColumn("met", F.lit(1)), ["a", "b"], "left")
+    into = one.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"), F.count("met").alias("met_in"))
+    out = one.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("fan_out"), F.count("met").alias("met_out"))
+    return into.join(out, "path").where(f"fan_in >= {degree} and fan_out >= {degree} and met_in > 0 and met_out > 0").select("path", "fan_in", "fan_out")

@@ -248,3 +248,36 @@ def h_numstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = rows.groupBy("part").agg(F.max("header").alias("end"))
     before = ends.select("part", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     return here.join(before, "part").groupBy(F.coalesce("carried", "before").alias("sha")).agg(F.count("*").alias("lines"))
+
+
+def supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sha, path: an order changes its suppliers' modules, the nodes of the graph binding."""
+    return b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path"))
+
+
+MODULE_PAIRS = f"{b.GRAPH_SQL}, d AS (SELECT DISTINCT l_orderkey AS sha, 's' || l_suppkey AS path FROM lineitem), pairs AS (SELECT x.path AS a, y.path AS b, count(*) AS shared FROM d x JOIN d y ON x.sha = y.sha AND x.path < y.path GROUP BY 1, 2)"
+MET = "one AS (SELECT e.src, e.dst, p.shared FROM edges e LEFT JOIN pairs p ON p.a = least(e.src, e.dst) AND p.b = greatest(e.src, e.dst) AND p.shared >= 3)"
+
+
+@query(f"WITH {CO_CHANGE}, ends AS (SELECT a AS path, shared FROM pairs UNION ALL SELECT b, shared FROM pairs), t AS (SELECT path, sum(shared) AS total, p_brand FROM ends JOIN part ON path = 'p' || p_partkey GROUP BY 1, 3) SELECT a, b, shared FROM pairs JOIN t x ON x.path = a JOIN t y ON y.path = b WHERE shared >= 1 AND x.p_brand <> y.p_brand AND shared > 0.02::DOUBLE * x.total AND shared > 0.02::DOUBLE * y.total")
+def h_implicit_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands are the packages; the limits are low, as parts are bought together at random."""
+    package = b.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("package"))
+    return s.implicit_dependencies(s.co_change(b.changes(spark, sf_dir)), package, 1, 0.02)
+
+
+@query(f"WITH {MODULE_PAIRS} SELECT a, b, shared FROM pairs WHERE shared >= 3 AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a AND greatest(src, dst) = b)")
+def h_unlinked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.unlinked_pairs(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir))
+
+
+@query(f"WITH {MODULE_PAIRS}, {MET}, f AS (SELECT dst AS path, count(*) AS dependents, count(shared) AS overlap FROM one GROUP BY 1) SELECT * FROM f WHERE dependents > 2 AND overlap > 2")
+def h_unstable_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An impact of 2 instead of 10, as each module imports two others only."""
+    return s.unstable_interfaces(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir), 2)
+
+
+@query(f"WITH {MODULE_PAIRS}, {MET}, i AS (SELECT dst AS path, count(*) AS fan_in, count(shared) AS mi FROM one GROUP BY 1), o AS (SELECT src AS path, count(*) AS fan_out, count(shared) AS mo FROM one GROUP BY 1) SELECT path, fan_in, fan_out FROM i JOIN o USING (path) WHERE fan_in >= 2 AND fan_out >= 2 AND mi > 0 AND mo > 0")
+def h_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of 2 instead of 4, for the same reason."""
+    return s.crossings(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir), 2)
