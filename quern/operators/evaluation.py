@@ -286,3 +286,22 @@ def stratified_sample(rows: DataFrame, stratum: str, id_: str, each: int) -> Dat
     """The first `each` rows of every stratum by a hash of their id."""
     key = F.md5(F.col(id_).cast("string"))
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_))).where(F.col("__r") <= each).drop("__r")
+
+
+def fleiss_kappa(ratings: DataFrame) -> DataFrame:
+    """ratings(item, label), a row a rating -> items, observed, expected, kappa (Fleiss 1971), over items rated twice or more.
+
+    Items may have different numbers of ratings; each counts the same in `observed`.  NULL where chance agrees fully.
+    """
+    cells = ratings.where("item is not null and label is not null").groupBy("item", "label").agg(F.count("*").alias("n"))
+    by = cells.groupBy("item").agg(F.sum("n").alias("of"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agreeing")).where("of > 1")
+    seen = by.agg(F.count("*").alias("items"), F.avg(F.col("agreeing") / (F.col("of") * (F.col("of") - 1))).alias("observed"))
+    labels = cells.join(by.select("item"), "item", "left_semi").groupBy("label").agg(F.sum("n").alias("n"))
+    chance = labels.agg(ratio(F.sum(F.col("n") * F.col("n")), F.sum("n") * F.sum("n")).alias("expected"))
+    return seen.crossJoin(chance).select("items", "observed", "expected", ratio(F.col("observed") - F.col("expected"), 1 - F.col("expected")).alias("kappa"))
+
+
+def against_targets(measured: DataFrame, targets: DataFrame) -> DataFrame:
+    """measured(metric, value) against targets(metric, target, at_most): `met` is NULL without a value or a target."""
+    rows = targets.join(measured, "metric", "left")
+    return rows.select("metric", "value", "target", F.when(F.col("at_most"), F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target")).alias("met"))

@@ -281,3 +281,17 @@ def e_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e_safety_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.count_if(F.col("value") < 10)
     return shown(b.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("slice")).agg(bad.alias("violations"), F.count("*").alias("attempts"), (1 - ratio(bad, F.count("*"))).alias("compliance")))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), i AS (SELECT user_id, sum(n) AS m, sum(n * (n - 1)) AS g FROM c GROUP BY 1 HAVING sum(n) > 1), l AS (SELECT event_type, sum(n) AS n FROM c WHERE user_id IN (SELECT user_id FROM i) GROUP BY 1), e AS (SELECT sum(n * n)::DOUBLE / (sum(n) * sum(n)) AS expected FROM l), o AS (SELECT count(*) AS items, avg(g::DOUBLE / (m * (m - 1))) AS observed FROM i) SELECT items, round_even(observed, 9) AS observed, round_even(expected, 9) AS expected, round_even((observed - expected) / nullif(1 - expected, 0), 9) AS kappa FROM o, e")
+def e_fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users are rated by the types of their events."""
+    return shown(ev.fleiss_kappa(b.table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("label"))))
+
+
+@query("WITH m AS (SELECT event_type AS metric, avg(value) AS value FROM events GROUP BY 1), t(metric, target, at_most) AS (VALUES ('view', 40.0::DOUBLE, false), ('click', 60.0::DOUBLE, true), ('error', NULL, true), ('unseen', 1.0::DOUBLE, false)) SELECT metric, round_even(value, 9) AS value, target, CASE WHEN at_most THEN value <= target ELSE value >= target END AS met FROM t LEFT JOIN m USING (metric)")
+def e_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean values of event types against targets; one has no number, one is never measured."""
+    targets = spark.createDataFrame([("view", 40.0, False), ("click", 60.0, True), ("error", None, True), ("unseen", 1.0, False)], "metric string, target double, at_most boolean")
+    measured = b.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return shown(ev.against_targets(measured, targets))
