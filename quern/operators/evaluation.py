@@ -305,3 +305,15 @@ def against_targets(measured: DataFrame, targets: DataFrame) -> DataFrame:
     """measured(metric, value) against targets(metric, target, at_most): `met` is NULL without a value or a target."""
     rows = targets.join(measured, "metric", "left")
     return rows.select("metric", "value", "target", F.when(F.col("at_most"), F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target")).alias("met"))
+
+
+def grounding(claims: DataFrame) -> DataFrame:
+    """claims(case_id, supported, cited, worthy) -> case_id, faithfulness, citation_precision, citation_recall over its claims.
+
+    A claim is supported by the sources, cites one, or is worth a citation; a citation supports where both hold.
+    """
+    share = lambda hit, base: ratio(F.count_if(hit), F.count_if(base))
+    good = F.col("supported") & F.col("cited")
+    return claims.groupBy("case_id").agg(
+        ratio(F.count_if("supported"), F.count("*")).alias("faithfulness"), share(good, F.col("cited")).alias("citation_precision"), share(good & F.col("worthy"), F.col("worthy")).alias("citation_recall")
+    )

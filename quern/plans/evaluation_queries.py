@@ -295,3 +295,11 @@ def e_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([("view", 40.0, False), ("click", 60.0, True), ("error", None, True), ("unseen", 1.0, False)], "metric string, target double, at_most boolean")
     measured = b.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
     return shown(ev.against_targets(measured, targets))
+
+
+@query("WITH c AS (SELECT user_id AS case_id, value > 30 AS supported, event_type <> 'error' AS cited, event_type = 'view' AS worthy FROM events) SELECT case_id, round_even(count_if(supported) / nullif(count(*), 0)::DOUBLE, 9) AS faithfulness, round_even(count_if(supported AND cited) / nullif(count_if(cited), 0)::DOUBLE, 9) AS citation_precision, round_even(count_if(supported AND cited AND worthy) / nullif(count_if(worthy), 0)::DOUBLE, 9) AS citation_recall FROM c GROUP BY 1")
+def e_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for a user's claims."""
+    kind = F.col("event_type")
+    claims = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), (F.col("value") > 30).alias("supported"), (kind != "error").alias("cited"), (kind == "view").alias("worthy"))
+    return shown(ev.grounding(claims))
