@@ -285,6 +285,42 @@ def test_leaks_verbatim_and_paraphrased(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def brute_leaks(text, index):
+    """The items that the exact checks find around any passage."""
+    other = len(index.vocabulary)
+    ids = [index.vocabulary.get(w, other) for w in decontaminate.words_of(text)]
+    found = set()
+    for f in decontaminate.starts(len(ids)).tolist():
+        for i, (words, answers) in enumerate(zip(index.words, index.answers, strict=True)):
+            far = len(words) + len(words) // 4
+            here = ids[max(0, f - max(0, far - decontaminate.STRIDE)) : f + max(decontaminate.WINDOW, far)]
+            share = decontaminate.common_subsequence(words, here) / len(words)
+            if share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and sum(t in here for t in answers) >= len(answers) / 2:
+                found.add(index.items[i])
+    return found
+
+
+@pytest.mark.parametrize("times", [1, 1000, 10**7])
+def test_leaks_are_those_of_brute_force_at_any_corpus_size(spark, monkeypatch, times):
+    """A corpus of `times` as many documents, with the benchmark's words as common as before."""
+    r = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    items = [" ".join(r.choice(common) if r.random() < 0.7 else f"r{r.randrange(400)}" for _ in range(n)) for n in (8, 15, 24, 38, 59, 59, 90, 200)]
+    filler = lambda n: [r.choice(common) if r.random() < 0.3 else f"x{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(64):
+        leak = [w if r.random() > k % 8 * 0.08 else f"y{r.randrange(10**6)}" for w in items[k % len(items) - k // 16].split()]
+        texts.append(" ".join(filler(r.randrange(300)) + leak + filler(r.randrange(300))))
+    docs = documents(spark, texts)
+    own = decontaminate.frequencies
+    monkeypatch.setattr(decontaminate, "frequencies", lambda *a: tuple(x * times for x in own(*a)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    index = decontaminate.build(docs, bench.toPandas())
+    want = [brute_leaks(t, index) for t in texts]
+    assert sum(map(len, want)) > 40
+    assert [{x["item_id"] for x in found} for found in decontaminate.leaks(texts, index)] == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
