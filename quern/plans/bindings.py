@@ -1,7 +1,7 @@
 """How the driver's tables stand in for the operators' inputs, once as DataFrames and once as SQL.
 
 Every binding reads its whole tables.  The module graph's nodes are the suppliers; a module imports the (at most two)
-suppliers that most often come right after it within an order.
+suppliers that most often come right after it within an order, and in the whole graph all that ever do.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ def chosen_sql(values: list[str], at: str) -> str:
     return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({at} AS INTEGER) + 1)"
 
 
-def module_edges(spark: SparkSession, sf_dir: str, each: int = 2) -> DataFrame:
-    """src, dst, weight."""
+def module_edges(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+    """src, dst, weight: the `each` heaviest of a source, or all."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
     steps = table(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("src"), name(F.lead("l_suppkey").over(by)).alias("dst"))
     n = steps.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if each is None:
+        return n
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")))
     return top.where(F.col("r") <= each).select("src", "dst", "weight")
 
@@ -61,6 +63,9 @@ fans AS MATERIALIZED (SELECT id, path, lang, loc, types, abstract, unresolved,
   (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS fan_in, (SELECT count(*) FROM edges e WHERE e.src = n.id) AS fan_out FROM nodes n)
 """
 
+#: The same with all edges.
+WHOLE_GRAPH_SQL = GRAPH_SQL.replace(" WHERE r <= 2", "")
+
 
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, relevance: the labelled documents of a source and language, longest first."""
