@@ -8,6 +8,10 @@ registers agree with the probability Jaccard similarity of their weighted shingl
 whole band are compared; a link is a Jaccard similarity of the distinct shingles of at least LEAST, and a class is a
 connected component of links.
 
+Repeated lines can make the weighted similarity of a link far less than LEAST, so each text also has the bands of its
+shingles with weight 1 each, whose registers agree with the very similarity of the rule.  Without a repeated shingle
+both signatures are the same, so only texts with one have more than BANDS keys.
+
 Copies (equal word sequences, null and wordless texts as the empty sequence) fall in one class before any banding, so
 that a group of copies costs no comparison.  In a band's bucket of up to SMALL texts all pairs are compared.  In a
 larger one every text is compared with one hub, in rounds with other hubs each, as long as a round links texts of
@@ -119,9 +123,16 @@ def sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         with np.errstate(over="ignore"):
             found = [np.unique(shingles(w), return_counts=True) for w in words]
         doc = np.repeat(np.arange(len(ids)), [len(s) for s, _ in found])
-        kept = prob_min_hash(doc, np.concatenate([s for s, _ in found]), 1 + np.log(np.concatenate([n for _, n in found])), len(ids))
-        bands = band_keys(kept)
-        yield {"id": ids, "copy": [xxhash.xxh3_128_digest(w.tobytes()) for w in words], "bands": [b if len(s) else [] for b, (s, _) in zip(bands, found, strict=True)]}
+        shingle, count = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        plain = band_keys(prob_min_hash(doc, shingle, np.ones(len(doc)), len(ids)))
+        bands = [b if len(s) else [] for b, (s, _) in zip(plain, found, strict=True)]
+        again = np.unique(doc[count > 1])
+        if len(again):
+            those = np.isin(doc, again)
+            weighted = band_keys(prob_min_hash(np.searchsorted(again, doc[those]), shingle[those], 1 + np.log(count[those]), len(again)))
+            for i, w in zip(again.tolist(), weighted, strict=True):
+                bands[i] = np.concatenate((plain[i], w[w != plain[i]]))
+        yield {"id": ids, "copy": [xxhash.xxh3_128_digest(w.tobytes()) for w in words], "bands": bands}
 
 
 def shingle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

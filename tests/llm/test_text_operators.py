@@ -253,6 +253,21 @@ def test_exact_join_pairs_hold_all_similar_ones(spark, block):
     assert near.rest_pairs(nodes.limit(0), sets).count() == 0
 
 
+def test_links_of_texts_with_unequal_repeated_lines(spark):
+    """The sets are alike by 0.84, the weighted shingles by far less."""
+    r = random.Random(9)
+    texts = []
+    for k in range(24):
+        shared = " ".join(f"s{r.randrange(10**6)}" for _ in range(150))
+        for _ in range(2):
+            line = " ".join(f"l{r.randrange(10**6)}" for _ in range(10))
+            texts.append(shared + f"\n{line}" * (20, 1000)[k % 2])
+    got = {x.id: x["class"] for x in near.classes(documents(spark, texts)).collect()}
+    want = brute_classes(texts, range(len(texts)))
+    assert len(set(want.values())) == 24
+    assert got == want
+
+
 def test_prob_min_hash_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     shingle = r.integers(1, 2**62, 60).astype(np.uint64)
