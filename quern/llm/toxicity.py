@@ -109,11 +109,12 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT) -> Model:
     """The model from at most `most` labelled documents, which the driver gets whole.
 
-    The ids are chosen from the small label table first (the greatest label of a repeated id counts), so that only
-    the chosen texts leave the scan; the list of ids is bounded by `most` and broadcast.
+    The ids are chosen first, from those of the label table that docs hold (the greatest label of a repeated id
+    counts), so that only the chosen texts leave the scan; the list of ids is bounded by `most` and broadcast.
     """
     known = labels.select(F.col("doc_id").alias("id"), "toxic").where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("label"))
+    known = known.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "label", "text").toPandas()
     rows = rows.sort_values(["id", "text"]).drop_duplicates("id")

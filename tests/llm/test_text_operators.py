@@ -167,6 +167,14 @@ def test_toxicity_learns_from_the_greatest_label_of_an_id(spark):
 # -- near duplicates
 
 
+def test_toxicity_learns_from_as_many_documents_as_are_left(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: taught.append(len(texts)))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    toxicity.learn(documents(spark, [EN] * 200, ids=list(range(200, 400))), labels, most=60)
+    assert taught == [60]
+
+
 def brute_classes(texts, ids):
     sets, parent = {}, {i: i for i in ids}
 
