@@ -117,6 +117,13 @@ def g_betweenness(spark: SparkSession, sf_dir: str, each: int | None = 2) -> Dat
     return g.betweenness(*both(spark, sf_dir, each))[0]
 
 
+@query(f"WITH RECURSIVE {b.GRAPH_SQL}, {between('edges', '(SELECT id FROM nodes WHERE (SELECT count(*) FROM nodes) <= 1200)')}, n AS (SELECT count(*) AS n FROM nodes) SELECT id, CASE WHEN n <= 1200 THEN round_even(coalesce(score, 0) / ((n - 1) * (n - 2))::DOUBLE, 4) END AS betweenness, CASE WHEN n <= 1200 THEN '' ELSE 'betweenness skipped: ' || n || ' nodes exceeds cap 1200' END AS note FROM nodes LEFT JOIN through USING (id), n")
+def g_betweenness_noted(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+    """With the reason where it is skipped."""
+    rows, note = g.betweenness(*both(spark, sf_dir, each))
+    return rows.withColumn("note", F.lit(note))
+
+
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT id, scc FROM scc")
 def g_components(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
     return g.components(*both(spark, sf_dir, each))

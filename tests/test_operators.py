@@ -330,3 +330,18 @@ def test_whole_module_graph_keeps_every_pair(spark, tmp_path):
     assert fans == {"s1": (6, 6)} | {f"s{k}": (1, 1) for k in range(2, 8)}
     assert [tuple(x) for x in QUERIES["h_crossing_whole"](spark, str(tmp_path)).collect()] == [("s1", 6, 6)]
     assert QUERIES["h_unlinked_pairs_whole"](spark, str(tmp_path)).count() == 0
+
+
+def test_skipped_betweenness_says_why_as_its_twin_does(spark, tmp_path):
+    import duckdb
+
+    from quern.catalog import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 2)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 1202).selectExpr("id AS s_suppkey", "1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["g_betweenness_noted"](spark, str(tmp_path)).select("betweenness", "note").distinct().collect()
+    want = con.sql(f"SELECT DISTINCT betweenness, note FROM ({ORACLE_SQL['g_betweenness_noted']})").fetchall()
+    assert [tuple(x) for x in got] == want == [(None, "betweenness skipped: 1201 nodes exceeds cap 1200")]
