@@ -16,16 +16,21 @@ from pyspark.sql import functions as F
 
 #: Texts that a worker holds as Python objects at one time, in characters (one longer text is taken alone).
 BLOCK_CHARS = 4 << 20
+#: Rows and bytes of an Arrow batch.
 BATCH_ROWS = 2000
+BATCH_BYTES = 32 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is empty (tests, a single machine), a folder of this machine is set for the session.
+    Where the setting is empty on a single machine (tests), a folder of this machine is set for the session; on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -36,17 +41,43 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS texts, unless the session has a number of its own: batches are cut by rows alone."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes, where the session sets no numbers of its own."""
+    own = spark._jsparkSession.sessionState().conf().settings()
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not own.containsKey(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return written_at(df, scratch(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """The tables that a computation writes in the shared folder; on leaving, all but those `kept` are deleted."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        return written_at(df, self.paths[-1])
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
