@@ -292,15 +292,15 @@ def test_leaks_verbatim_and_paraphrased(spark):
     r = random.Random(4)
     words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "ro") for b in ("dan", "fil", "gor", "hes", "jap", "tux", "vim")]
     text = lambda n: " ".join(r.choice(words) + str(r.randrange(30)) for _ in range(n))
-    items = [text(30) for _ in range(12)] + ["", None, "too short"]
+    items = [text(30) for _ in range(12)] + ["", None, "too short", "!!"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
     near_item = items[1].split()
     for k in (4, 11, 19):
         near_item[k] = "other"
-    texts = [text(80), f"{text(70)} {items[0]} {text(50)}", f"{text(40)} {' '.join(near_item)} {text(90)}", None, "", text(2000), f"{text(500)}, {items[2].upper()}! {items[3]}"]
+    texts = [text(80), f"{text(70)} {items[0]} {text(50)}", f"{text(40)} {' '.join(near_item)} {text(90)}", None, "", text(2000) + " short too", f"{text(500)}, {items[2].upper()}! {items[3]}, too; short"]
     docs = documents(spark, texts)
     got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(docs, bench).collect()}
-    assert got == {(1, 0), (2, 1), (6, 2), (6, 3)}
+    assert got == {(1, 0), (2, 1), (6, 2), (6, 3), (6, 14)}
     kept = decontaminate.keep_unseen(docs, bench)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {0, 3, 4, 5}
     empty = bench.limit(0)
@@ -308,17 +308,28 @@ def test_leaks_verbatim_and_paraphrased(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def plain_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(len(b) + 1), lambda s, j, row=row, x=x: max(s, row[j], row[j - 1] + (x == b[j - 1])) if j else 0))
+    return row[-1]
+
+
 def brute_leaks(text, index):
-    """The items that the exact checks find around any passage."""
+    """The items that the checks find around any passage, each cosine from the passage's own words."""
     other = len(index.vocabulary)
     ids = [index.vocabulary.get(w, other) for w in decontaminate.words_of(text)]
     found = set()
-    for f in decontaminate.starts(len(ids)).tolist():
+    for f in range(0, max(1, len(ids) - decontaminate.STRIDE), decontaminate.STRIDE) if ids else ():
+        z = index.basis[ids[f : f + decontaminate.WINDOW]].sum(axis=0)
+        cosine = index.passages @ z / max(np.linalg.norm(z), 1e-6)
         for i, (words, answers) in enumerate(zip(index.words, index.answers, strict=True)):
             far = len(words) + len(words) // 4
             here = ids[max(0, f - max(0, far - decontaminate.STRIDE)) : f + max(decontaminate.WINDOW, far)]
-            share = decontaminate.common_subsequence(words, here) / len(words)
-            if share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and sum(t in here for t in answers) >= len(answers) / 2:
+            share, held = plain_subsequence(words, here) / len(words), sum(w in here for w in words) / len(words)
+            answered = sum(t in here for t in answers) >= len(answers) / 2
+            moved = share >= decontaminate.REORDERED and (held >= decontaminate.HELD or cosine[index.owner == i].max() >= decontaminate.NEAR)
+            if share >= decontaminate.VERBATIM or answered and (share >= decontaminate.PARAPHRASE or moved):
                 found.add(index.items[i])
     return found
 
@@ -338,23 +349,74 @@ def test_leaks_are_those_of_brute_force_at_any_corpus_size(spark, monkeypatch, t
     own = decontaminate.frequencies
     monkeypatch.setattr(decontaminate, "frequencies", lambda *a: tuple(x * times for x in own(*a)))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    index = decontaminate.build(docs, bench.toPandas())
+    with shared.Tables(spark) as tables:
+        index = decontaminate.build(docs.select("text"), bench.toPandas(), decontaminate.sampled(docs.select("text")), tables)
     want = [brute_leaks(t, index) for t in texts]
     assert sum(map(len, want)) > 40
     assert [{x["item_id"] for x in found} for found in decontaminate.leaks(texts, index)] == want
 
 
-def test_common_subsequence():
-    def plain(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            row = list(itertools.accumulate(range(len(b) + 1), lambda s, j, row=row, x=x: max(s, row[j], row[j - 1] + (x == b[j - 1])) if j else 0))
-        return row[-1]
+def test_latent_space_is_small_and_brings_words_of_one_company_together(spark):
+    """Topics of 12 words each: a passage of a topic in other words has a greater cosine than one of another topic."""
+    r = random.Random(8)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(20)]
+    texts = [" ".join(r.choice(topics[k % 20]) for _ in range(32)) for k in range(600)]
+    items = [" ".join(r.choice(t[:6]) for _ in range(32)) for t in topics]
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    index = next(decontaminate.indexes(docs.select("text"), bench))
+    assert index.basis.shape[1] <= 64 and len(index.basis) > 240
+    other = " ".join(r.choice(topics[3][6:]) for _ in range(32))
+    z = decontaminate.projected(np.asarray([index.vocabulary[w.encode()] for w in other.split()]), index.basis)
+    cosine = index.passages @ z
+    assert set(other.split()).isdisjoint(items[3].split()) and int(index.owner[np.argmax(cosine)]) == 3
+    assert cosine.max() > 3 * np.delete(cosine, np.argmax(cosine)).max()
+
+
+def test_basis_is_the_singular_vectors(spark):
+    r = np.random.default_rng(3)
+    a = np.zeros((60, 40))
+    for row in a:
+        row[r.choice(40, 6, False)] = r.random(6)
+    a += 3 * np.outer(r.random(60), r.random(40)) + 2 * np.outer(r.random(60) - 0.5, r.random(40) - 0.5)
+    rows = spark.createDataFrame([(list(range(40)), x.tolist()) for x in a], "terms array<bigint>, weights array<double>")
+    basis = decontaminate.latent_basis(rows, 60, 40, 4)
+    _, value, turn = np.linalg.svd(a)
+    assert np.allclose(basis.T @ basis, np.eye(4), atol=1e-4)
+    assert np.allclose(np.linalg.norm(a @ basis, axis=0), value[:4], rtol=0.02) and abs(turn[0] @ basis[:, 0]) > 0.999
+
+
+def test_paraphrases_are_found_and_others_are_not(spark):
+    """Reordered clauses and replaced words: the share found, and none of the texts without an item."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    common = [word() for _ in range(60)]
+    sentence = lambda n: [r.choice(common) if r.random() < 0.5 else word() for _ in range(n)]
+    items = [sentence(36) for _ in range(40)]
+    moved = [x[24:] + x[12:24] + x[:12] for x in items]
+    replaced = [[w if r.random() > 0.3 else word() for w in x] for x in items]
+    texts = [" ".join(sentence(40) + x + sentence(40)) for x in moved + replaced] + [" ".join(sentence(120)) for _ in range(80)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    want = {(k, k % 40) for k in range(80)}
+    assert got <= want
+    assert sum(k < 40 for k, _ in got) >= 38 and sum(k >= 40 for k, _ in got) >= 36
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    r = random.Random(10)
+    item = " ".join(f"q{r.randrange(10**6)}" for _ in range(30))
+    text = " ".join(f"z{r.randrange(5000)}" for _ in range(300_000))
+    docs = documents(spark, [f"{text} {item}", text, f"{item} {text}"])
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id bigint, text string")
+    assert {x.doc_id for x in decontaminate.contamination(docs, bench).collect()} == {0, 2}
 
+
+def test_common_subsequence():
     r = random.Random(6)
     for _ in range(60):
         a, b = ([r.randrange(5) for _ in range(r.randrange(14))] for _ in range(2))
-        assert decontaminate.common_subsequence(a, b) == plain(a, b)
+        assert decontaminate.common_subsequence(a, b) == plain_subsequence(a, b)
 
 
 # -- URL filter
