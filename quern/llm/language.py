@@ -25,11 +25,12 @@ from quern.llm.shared import arrow_map, blocks, held_out, short_batches, table
 
 #: N-grams in a profile, and of a text that are compared.
 RANKS = 300
-#: A text whose n-grams agree less than this with every profile is of no learned language (see `keep_known`).
-LEAST_SCORE = 0.05
 #: Distinct counted n-grams that a training task holds before it passes its counts on.
 HELD = 2_000_000
 BLANK = 32
+#: Stands between texts that are counted together; no n-gram may hold it.
+BETWEEN = 1
+PART = (1 << 21) - 1
 
 
 class Profiles(NamedTuple):
@@ -59,12 +60,18 @@ def ngrams(code: np.ndarray) -> np.ndarray:
     return np.concatenate((code[code != BLANK], two, (two[:-1] << 21) | code[2:]))
 
 
+def within(grams: np.ndarray) -> np.ndarray:
+    """Which n-grams lie within one text."""
+    return (grams & PART != BETWEEN) & (grams >> 21 & PART != BETWEEN) & (grams >> 42 != BETWEEN)
+
+
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams and their counts; a table is used where the alphabet is small."""
     alphabet = np.flatnonzero(np.bincount(code))
     k = len(alphabet)
     if k**3 > max(1 << 20, 2 * len(code)) or len(code) < 3:
-        return np.unique(ngrams(code), return_counts=True)
+        grams, counts = np.unique(ngrams(code), return_counts=True)
+        return grams[real := within(grams)], counts[real]
     place = np.zeros(alphabet[-1] + 1, np.int64)
     place[alphabet] = np.arange(k)
     code = place[code]
@@ -77,7 +84,7 @@ def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(width):
             gram |= alphabet[rest % k] << (21 * i)
             rest = rest // k
-        real = gram != BLANK
+        real = (gram != BLANK) & within(gram)
         grams.append(gram[real])
         counts.append(n[found][real])
     return np.concatenate(grams), np.concatenate(counts)
@@ -102,7 +109,7 @@ def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for lang, text in zip(langs, texts, strict=True):
             by.setdefault(lang, []).append(framed(text))
         for lang, codes in by.items():
-            held.setdefault(lang, []).append(counted(np.concatenate(codes)))
+            held.setdefault(lang, []).append(counted(np.concatenate([x for c in codes for x in (c, [BETWEEN])])))
             if len(held[lang]) > 8:
                 held[lang] = [merged(lang)]
         if sum(len(g) for x in held.values() for g, _ in x) > HELD:
@@ -163,10 +170,10 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> Column:
     return predictor(docs.sparkSession, profiles)(F.col(text))
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text is in a learned language."""
+def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text is in a learned language: those that are not `und`."""
     judged_ = docs.select(F.struct("*").alias("row"), identify(docs, profiles).alias("judged"))
-    return judged_.where((F.col("judged.lang_pred") != "und") & (F.col("judged.score") >= least)).select("row.*")
+    return judged_.where(F.col("judged.lang_pred") != "und").select("row.*")
 
 
 def taught(docs: DataFrame) -> DataFrame:
