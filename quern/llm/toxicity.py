@@ -21,13 +21,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import give_back, held_out, short_batches, table
 
 #: Labelled documents that the classifier is fitted on at most; they are the first by a hash of the id.
 MOST_TAUGHT = 3000
+#: Characters of all these texts together at most; the driver holds no more.
+TAUGHT_CHARS = 64 << 20
 #: Documents of the sample that must hold a feature before it gets a weight.
 LEAST_DOCS = 4
 #: Hashed counters that pass over the features of too few documents.
@@ -60,6 +62,22 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-x))
 
 
+def loss(theta: np.ndarray, y: np.ndarray, doc: np.ndarray, sent: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean log loss of the noisy-or and its gradient.
+
+    doc has the document of each sentence; sent and word have the sentence and the word of each feature.
+    """
+    logit = np.clip(np.bincount(sent, theta[word], minlength=len(doc)) + theta[-2], -30, 30)
+    p, noise = sigmoid(logit), sigmoid(theta[-1])
+    left = np.bincount(doc, -np.logaddexp(0, logit), minlength=len(y)) + np.log1p(-noise)  # log of 1 - score
+    score = np.clip(-np.expm1(left), 1e-6, 1 - 1e-9)
+    # d loss / d(-left): positives pull it up by (1 - score) / score, negatives push it down by 1
+    pull = np.where(y > 0, -(1 - score) / score, 1.0) / len(y)
+    at = pull[doc] * p if len(doc) else np.zeros(0)
+    slope = np.concatenate((np.bincount(word, at[sent], minlength=len(theta) - 2), [at.sum(), pull.sum() * noise]))
+    return float(-np.where(y > 0, np.log(score), left).mean()), slope
+
+
 def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
@@ -88,15 +106,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     theta[-2], theta[-1] = -5.0, np.log(y.mean() / (1 - y.mean())) - 0.5
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        logit = np.bincount(sent, theta[word], minlength=len(flat)) + theta[-2]
-        p = sigmoid(np.clip(logit, -30, 30))
-        noise = sigmoid(theta[-1])
-        left = np.bincount(doc, -np.logaddexp(0, np.clip(logit, -30, 30)), minlength=len(y)) + np.log1p(-noise)  # log of 1 - score
-        score = np.clip(-np.expm1(left), 1e-6, 1 - 1e-9)
-        # d loss / d(-left): positives pull it up by (1 - score) / score, negatives push it down by 1
-        pull = np.where(y > 0, -(1 - score) / score, 1.0) / len(y)
-        at = pull[doc] * p if len(doc) else np.zeros(0)
-        slope = np.concatenate((np.bincount(word, at[sent], minlength=len(vocabulary)), [at.sum(), pull.sum() * noise]))
+        _, slope = loss(theta, y, doc, sent, word)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         scale = rate / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
@@ -106,18 +116,24 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     return Model({w: float(theta[i]) for w, i in vocabulary.items() if abs(theta[i]) > 0.05}, float(theta[-2]), float(sigmoid(theta[-1])))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT) -> Model:
-    """The model from at most `most` labelled documents, which the driver gets whole.
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT, chars: int = TAUGHT_CHARS) -> DataFrame:
+    """(id, label, text): at most `most` labelled documents of `chars` characters together, one row an id.
 
-    The ids are chosen first, from those of the label table that docs hold (the greatest label of a repeated id
-    counts), so that only the chosen texts leave the scan; the list of ids is bounded by `most` and broadcast.
+    The ids are chosen first, by a hash, from those of the label table that docs hold (the greatest label of a repeated
+    id counts, and the least of its texts), so that only the chosen texts leave the scan.
     """
-    known = labels.select(F.col("doc_id").alias("id"), "toxic").where("id is not null and toxic is not null")
+    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), "toxic").where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("label"))
-    known = known.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "label", "text").toPandas()
-    rows = rows.sort_values(["id", "text"]).drop_duplicates("id")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    chosen = known.join(own.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    size = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("chars", size).where(F.col("chars") <= chars).select("id", "label", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT) -> Model:
+    """The model from the bounded `sample`, which the driver gets."""
+    rows = sample(docs, labels, most).toPandas().sort_values("id")
     model = fit(rows.text.tolist(), rows.label.tolist())
     del rows
     give_back()
