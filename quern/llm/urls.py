@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import arrow_map, scratch, table, written
 
-#: The contract's rules, and hosts of betting pages that our list blocks besides: (host, path, verdict).
+#: The contract's rules: (host, path, verdict).
 RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -39,8 +39,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-BLOCKED_NAMES = ["casino-win", "free-bets"]
-LISTED = [(f"{name}.example.{top}", "", "block") for name in BLOCKED_NAMES for top in ("com", "net", "org")]
+#: Words of sites that sell or bet; a host is listed where one stands between dots and hyphens of its name.
+WARNED = ["bet", "bets", "betting", "casino", "jackpot", "loan", "loans", "pharmacy", "pills", "poker", "porn", "replica", "viagra", "xxx"]
+#: Ranges of keys that the query's list has at least.
+LIST_SHARDS = 4
 #: Entries that one shard holds, about.
 SHARD_ROWS = 4_000_000
 MARK = b"QUF1"
@@ -99,44 +101,47 @@ class Shard:
 
 
 class Filter(NamedTuple):
-    """What workers need: each shard's first key and URI, and the lengths of the listed paths."""
+    """What workers need: each shard's first key and URI, the lengths of the listed paths, the most labels of a host."""
 
     firsts: list[int]
     shards: list[str]
     lengths: list[int]
+    labels: int
     default: str
 
 
-def build(entries: DataFrame, folder: str, default: str = "allow") -> Filter:
+def build(entries: DataFrame, folder: str, default: str = "allow", least_shards: int = 1) -> Filter:
     """The digest array of entries (host, path, verdict), written by key ranges under folder (a URI).
 
-    The driver gets a row for each shard of SHARD_ROWS entries and the distinct lengths of paths, no entry.
+    The driver gets a row for each shard of SHARD_ROWS entries (or least_shards of them) and the distinct lengths of
+    paths, no entry.
     """
     rows = entries.where("host is not null").select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    rows = rows.groupBy(F.concat("host", F.lit("\n"), "path").alias("entry")).agg(F.max(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocked"), F.max(F.length("path")).alias("length"))
+    rows = rows.groupBy(F.concat("host", F.lit("\n"), "path").alias("entry")).agg(F.max(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocked"), F.max(F.length("path")).alias("length"), F.max(F.size(F.split("host", "[.]"))).alias("labels"))
     rows = rows.withColumn("key", F.xxhash64("entry"))
     total = rows.count()
     # unsigned order: the sign bit is turned
-    rows = rows.withColumn("order", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).repartitionByRange(max(1, -(-total // SHARD_ROWS)), "order").sortWithinPartitions("order", "entry")
+    rows = rows.withColumn("order", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).repartitionByRange(max(least_shards, -(-total // SHARD_ROWS)), "order").sortWithinPartitions("order", "entry")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        keys, found, blocked, lengths = [], [], [], set()
+        keys, found, blocked, lengths, labels = [], [], [], set(), 0
         for batch in batches:
             keys.append(batch.column(0).to_numpy().view(np.uint64))
             found += [e.encode() for e in batch.column(1).to_pylist()]
             blocked.append(batch.column(2).to_numpy(zero_copy_only=False))
             lengths.update(batch.column(3).to_pylist())
+            labels = max([labels, *batch.column(4).to_pylist()])
         if keys and found:
             uri = f"{folder}/shard-{uuid.uuid4().hex}"
             system, path = fs.FileSystem.from_uri(uri)
             system.create_dir(path.rpartition("/")[0], recursive=True)
             with system.open_output_stream(path, compression=None) as out:
                 out.write(shard_bytes(np.concatenate(keys), found, np.concatenate(blocked)))
-            yield {"first": [str(keys[0][0])], "uri": [uri], "lengths": [sorted(lengths)]}
+            yield {"first": [str(next(k[0] for k in keys if len(k)))], "uri": [uri], "lengths": [sorted(lengths)], "labels": [labels]}
 
-    shards = written(arrow_map(rows.select("key", "entry", "blocked", "length"), work, "first string, uri string, lengths array<int>"), "shards").collect()
+    shards = written(arrow_map(rows.select("key", "entry", "blocked", "length", "labels"), work, "first string, uri string, lengths array<int>, labels int"), "shards").collect()
     shards.sort(key=lambda s: int(s.first))
-    return Filter([int(s.first) for s in shards], [s.uri for s in shards], sorted({n for s in shards for n in s.lengths}), default)
+    return Filter([int(s.first) for s in shards], [s.uri for s in shards], sorted({n for s in shards for n in s.lengths}), max((s.labels for s in shards), default=0), default)
 
 
 class Prober:
@@ -180,7 +185,8 @@ class Prober:
         for i, (host, path) in enumerate(split):
             if not host:
                 continue
-            labels = host.split(".")
+            # no listed host has more labels, so a hostile name of many costs no more
+            labels = host.rsplit(".", self.rules.labels)[-self.rules.labels :] if self.rules.labels else []
             for k in range(len(labels)):
                 suffix = ".".join(labels[k:])
                 for n in self.rules.lengths:
@@ -221,12 +227,19 @@ def entries(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame
     return spark.createDataFrame(pd.DataFrame(rules, columns=["host", "path", "verdict"]), "host string, path string, verdict string")
 
 
+def warned_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Entries (host, path, verdict) that block each distinct host of the pages with a warned word in its name."""
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1))
+    host = F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hosts = pages.select(host.alias("host")).where(F.col("host").rlike(f"(^|[.-])({'|'.join(WARNED)})([.-]|$)")).distinct()
+    return hosts.select("host", F.lit("").alias("path"), F.lit("block").alias("verdict"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's rules decide where one fits; else our list of betting hosts does, and its entry is no `rule`."""
+    """The contract's rules decide where one fits; else the list of warned hosts does, and its entry is no `rule`."""
     pages = table(spark, sf_dir, "pages")
     rules = build(entries(spark, RULES), scratch(spark, "url-rules"))
-    listed = build(entries(spark, LISTED), scratch(spark, "url-list"))
-    first = judged(pages, rules)
+    listed = build(warned_hosts(pages), scratch(spark, "url-list"), least_shards=LIST_SHARDS)
     return two_lists(pages, rules, listed)
 
 
@@ -248,7 +261,7 @@ def two_lists(rows: DataFrame, rules: Filter, listed: Filter, id_: str = "page_i
     return arrow_map(rows.select(F.col(id_).cast("bigint").alias("page_id"), F.col(url).alias("url")), work, "page_id bigint, host string, path string, rule string, verdict string")
 
 
-ORACLE_SQL = """
+ORACLE_SQL = f"""
 WITH split AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
@@ -268,7 +281,7 @@ ruled AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
        WHEN rule IS NOT NULL THEN 'allow'
-       WHEN regexp_matches(d, '[.](casino-win|free-bets)[.]example[.](com|net|org)$') THEN 'block'
+       WHEN regexp_matches(d, '[.-]({'|'.join(WARNED)})([.-]|$)') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM ruled
 """
