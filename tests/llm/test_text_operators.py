@@ -127,9 +127,52 @@ def test_language_by_profiles(spark):
     assert language.judged(EN, none) == ("und", 0.0)
 
 
+def test_language_equals_brute_force(spark):
+    """Profiles and distances from dictionaries of strings."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice((EN if k % 2 else DE).split()) for _ in range(r.randrange(1, 30))) for k in range(60)] + ["é", "x" * 50_000, EN + " " + DE]
+    langs = ["en" if k % 2 else "de" for k in range(60)] + [None, "zz", None]
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        run = " " + " ".join(words) + " "
+        found = [run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1) if run[i : i + n] != " "] if words else []
+        return found
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = out << 21 | ord(c)
+        return out
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: language.RANKS]]
+
+    known = {}
+    for t, x in zip(texts, langs, strict=True):
+        if x:
+            for g in grams(t):
+                known.setdefault(x, {}).setdefault(g, 0)
+                known[x][g] += 1
+    places = {x: {g: i for i, g in enumerate(ranked(c))} for x, c in known.items()}
+    docs = documents(spark, texts, langs)
+    profiles = language.learn(docs)
+    assert profiles.languages == sorted(places)
+    for t in texts:
+        counts = {}
+        for g in grams(t):
+            counts[g] = counts.get(g, 0) + 1
+        own = ranked(counts)
+        apart = [sum(abs(p[g] - i) if g in p else language.RANKS for i, g in enumerate(own)) for _, p in sorted(places.items())]
+        best = apart.index(min(apart))
+        assert language.judged(t, profiles) == (sorted(places)[best], 1 - apart[best] / (language.RANKS * len(own)))
+    twice = language.learn(docs.unionByName(docs))
+    assert twice.languages == profiles.languages and (twice.ranks == profiles.ranks).all()
+
+
 def test_language_counts_do_not_depend_on_the_way():
     code = language.framed("Übel, über; 漢字 " + EN)
-    grams, n = language.counted(code)
+    grams, n = language.counted(np.concatenate((code, [language.BETWEEN])))
     one, m = np.unique(language.ngrams(code), return_counts=True)
     order = np.argsort(grams)
     assert grams[order].tolist() == one.tolist() and n[order].tolist() == m.tolist()
@@ -161,7 +204,44 @@ def test_toxicity_finds_the_sentence(spark):
 
 def test_toxicity_learns_from_the_greatest_label_of_an_id(spark):
     labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
-    assert toxicity.learn(documents(spark, [EN, DE, EN, EN]), labels).noise >= 0
+    docs = documents(spark, [EN, DE, EN, EN, DE, EN], ids=[0, 0, 1, 3, 3, None])
+    got = [tuple(x) for x in toxicity.sample(docs, labels).collect()]
+    assert sorted(got) == sorted((i, n, t) for i, n, t in [(0, 1, min(EN, DE)), (1, 0, EN)] if zlib.crc32(str(i).encode()) % 4 != 2)
+
+
+def test_toxicity_holds_out_and_bounds_what_it_learns_from(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    docs = documents(spark, ["x" * 100] * 200)
+    ids = [x.id for x in toxicity.sample(docs, labels).collect()]
+    assert sorted(ids) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert toxicity.sample(docs, labels, chars=1050).count() == 10 and toxicity.sample(docs, labels, most=7).count() == 7
+    assert toxicity.learn(docs.limit(0), labels).noise == 0 and toxicity.learn(docs, labels.limit(0)).weights == {}
+
+
+def test_toxicity_gradient_is_that_of_finite_differences():
+    r = np.random.default_rng(5)
+    doc, y = np.sort(r.integers(0, 6, 15)), np.array([1, 0, 0, 1, 0, 1.0])
+    sent, word = np.sort(r.integers(0, 15, 40)), r.integers(0, 9, 40)
+    theta = np.append(r.normal(0, 0.7, 9), [-1.0, -1.5])
+    value, slope = toxicity.loss(theta, y, doc, sent, word)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        assert abs((toxicity.loss(theta + step, y, doc, sent, word)[0] - toxicity.loss(theta - step, y, doc, sent, word)[0]) / 2e-6 - slope[k]) < 1e-5
+    odds = np.ones(6) * (1 - toxicity.sigmoid(theta[-1]))
+    for k, d in enumerate(doc):
+        odds[d] *= 1 - toxicity.sigmoid(theta[word[sent == k]].sum() + theta[-2])
+    assert abs(value - np.mean(np.where(y > 0, -np.log(1 - odds), -np.log(odds)))) < 1e-9
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences():
+    model = toxicity.Model({"bad": 3.0, "worse": 5.0, "wors*": 0.5}, -4.0, 0.02)
+    p = lambda x: 1 / (1 + np.exp(-x))
+    want = 1 - (1 - 0.02) * (1 - p(-4)) * (1 - p(-1)) * (1 - p(1.5))
+    score, found = toxicity.judged("A cat. A bad bad cat! Worse", model)
+    assert abs(score - want) < 1e-12 and [(x["start"], x["end"]) for x in found] == [(21, 27)]
+    long = "A cat. " * 200_000 + "worse bad"
+    assert toxicity.judged(long, model)[1][0]["start"] >= 7 * 200_000 - 1
 
 
 # -- near duplicates
@@ -246,21 +326,77 @@ def test_texts_that_hubs_leave_apart_are_joined_exactly(spark, monkeypatch):
     assert got == brute_classes(texts, range(len(texts)))
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_exact_join_pairs_hold_all_similar_ones(spark, block):
-    texts = chained(random.Random(6), 6, 8)
+def joined(nodes, links):
+    parent = dict(nodes)
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {i: find(i) for i in nodes}
+
+
+def templates(r, groups, each):
+    """Texts that share a passage of four fifths and more and little else; some share their rest, too."""
+    texts = []
+    for _ in range(groups):
+        passage, rest = [f"p{r.randrange(10**6)}" for _ in range(100)], [f"q{r.randrange(10**6)}" for _ in range(40)]
+        for _ in range(each):
+            own = rest[: r.randrange(30)] if r.random() < 0.3 else [f"o{r.randrange(10**6)}" for _ in range(r.randrange(40))]
+            texts.append(" ".join(passage[: r.choice([94, 97, 100])] + own))
+    return texts
+
+
+@pytest.mark.parametrize("rare", [16, 3])
+@pytest.mark.parametrize("made", [chained, templates])
+def test_the_rest_joins_all_that_any_links_join(spark, rare, made):
+    texts = made(random.Random(6), 3, 30)
     words = near.WordHashes()
     with np.errstate(over="ignore"):
         rows = [(i, np.unique((near.shingles(near.word_hashes(t, words)) >> np.uint64(32)).astype(np.uint32).view(np.int32)).tolist()) for i, t in enumerate(texts)]
     sets = spark.createDataFrame(rows, "id bigint, shingles array<int>")
-    nodes = spark.createDataFrame([(i, i % 40) for i in range(len(texts))], "node bigint, label bigint")
-    got = [(x.a, x.b) for x in near.rest_pairs(nodes, sets, block=block).collect()]
-    held = {x["id"]: set(x["shingles"]) for x in sets.collect()}
-    need = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 40 != b % 40 and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
-    assert need and need <= set(got) and len(got) == len(set(got)) and all(a < b and a % 40 != b % 40 for a, b in got)
+    held = {i: set(s) for i, s in rows}
+    links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    some = joined({i: i for i in held}, random.Random(1).sample(sorted(links), len(links) // 20))
+    nodes = spark.createDataFrame(list(some.items()), "node bigint, label bigint")
+    pairs = [(x.a, x.b) for x in near.rest_pairs(nodes, sets, rare=rare).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b and some[a] != some[b] for a, b in pairs)
+    assert joined(some, links & set(pairs)) == joined({i: i for i in held}, links)
     assert near.rest_pairs(nodes.limit(0), sets).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_one_of_each_whatever_the_type_of_ids(spark, kind):
+    docs = documents(spark, [EN] * 8 + [DE])
+    docs = docs.withColumn("doc_id", docs.doc_id.cast(kind))
+    kept = near.keep_one(docs)
+    assert kept.schema == docs.schema and sorted(str(x.doc_id) for x in kept.collect()) == ["0", "8"]
+
+
+def test_no_link_of_the_test_documents_is_lost(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    held: dict = {}
+    for x in rows:
+        w = re.findall(r"\w+", (x.text or "").lower())
+        held[x.doc_id] = {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))}
+    inverted: dict = {}
+    links = set()
+    for i in sorted(held):
+        met: dict = {}
+        for s in held[i]:
+            for j in inverted.setdefault(s, []):
+                met[j] = met.get(j, 0) + 1
+            inverted[s].append(i)
+        links |= {(j, i) for j, n in met.items() if n >= 0.8 * (len(held[i]) + len(held[j]) - n)}
+    want = joined({i: i for i in held}, links)
+    got = {x.id: x["class"] for x in near.classes(spark.createDataFrame(rows)).collect()}
+    assert len(links) > 50 and got == want
+
+
 def test_links_of_texts_with_unequal_repeated_lines(spark):
     """The sets are alike by 0.84, the weighted shingles by far less."""
     r = random.Random(9)
@@ -424,7 +560,7 @@ def test_common_subsequence():
 
 def test_url_rules_match_brute_force(spark):
     r = random.Random(8)
-    hosts = ["a.example.com", "example.com", "com", "xexample.com", "EXAMPLE.NET", "b.org", "casino-win.example.net", "", "net"]
+    hosts = ["a.example.com", "example.com", "com", "xexample.com", "EXAMPLE.NET", "b.org", "casino-win.example.net", "a.cheap-pills.org", "POKER.io", "alphabets.io", "", "net"]
     paths = ["/en/7", "/en/", "/en", "/de/8x", "/de/", "/es/1?x=/en/", "#/en/", "", "/en/7?q"]
     made = [f"{p}{h}{t}" for p in ("http://", "://", "") for h in hosts for t in paths] + [None, "", "://", "a://b://c/en/"]
     rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(made)], "page_id bigint, url string, host string")
@@ -432,10 +568,11 @@ def test_url_rules_match_brute_force(spark):
     def brute(url):
         host, path = urls.parts(url)
         fit = [(len(h + p), h + p, v) for h, p, v in urls.RULES if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
-        return (max(fit)[1], max(fit)[2]) if fit else (None, "block" if any(host == h or host.endswith("." + h) for h, _, _ in urls.LISTED) else "allow")
+        return (max(fit)[1], max(fit)[2]) if fit else (None, "block" if set(re.split("[.-]", host)) & set(urls.WARNED) else "allow")
 
     build = lambda x: urls.build(urls.entries(spark, x), shared.scratch(spark, "t"))
-    got = urls.two_lists(rows, build(urls.RULES), build(urls.LISTED)).collect()
+    got = urls.two_lists(rows, build(urls.RULES), urls.build(urls.warned_hosts(rows), shared.scratch(spark, "t"), least_shards=3)).collect()
+    assert len(urls.build(urls.warned_hosts(rows.unionByName(rows)), shared.scratch(spark, "t"), least_shards=3).shards) > 1
     assert len(got) == len(made) and all((x.rule, x.verdict) == brute(made[x.page_id]) for x in got)
     assert all((x.host, x.path) == tuple(urls.parts(made[x.page_id])) for x in got)
     many = [(f"h{r.randrange(400)}.net", f"/{r.randrange(9)}", r.choice(["allow", "block"])) for _ in range(900)]
@@ -456,7 +593,7 @@ def test_url_hits_are_confirmed(monkeypatch, spark):
     path = shared.scratch(spark, "shard")[7:]
     with open(path, "wb") as f:
         f.write(shard)
-    prober = urls.Prober(urls.Filter([7], [f"file://{path}"], [0], "none"))
+    prober = urls.Prober(urls.Filter([7], [f"file://{path}"], [0], 1, "none"))
     assert [x[3] for x in prober.judge(["x://a", "x://b", "x://c"])] == ["block", "allow", "none"]
 
 
@@ -567,11 +704,13 @@ def test_media_round_trip(spark):
 
 def test_warc_derivatives_link_to_their_source(spark):
     html = "<html><head><title>T &amp; t</title><script>x='<p>'</script></head><body><!-- no --><p>one  two</p><p>three <a href='/x'>four</a></p></body></html>"
-    rows = [(1, "http://a/b", html), (2, None, None), (3, "http://c\r\nX: y", "plain"), (None, "http://d", "<p>d"), (1, "http://a/b", html)]
+    rows = [(1, "http://a/b", html), (2, None, None), (3, "http://c\r\nX: y", "plain"), (None, "http://d", "<p>d"), (None, "http://e", "<p>d"), (1, "http://a/b", html)]
     pages = spark.createDataFrame([(*x, "r", "t") for x in rows], "page_id bigint, url string, html string, record string, text string")
     source = warc.responses(pages)
-    got = warc.derive(source).collect()
-    assert len(got) == 10 and sum(x.record_type == "metadata" for x in got) == 5
+    manifest = warc.write(warc.derive(source), shared.scratch(spark, "t"))
+    got = warc.read(manifest.where("path is not null")).collect()
+    assert len(got) == 12 and sum(x.record_type == "metadata" for x in got) == 6
+    assert len({x.record_id for x in got}) == 10 and manifest.agg({"records": "sum"}).first()[0] == 12
     one = [x for x in got if x.page_id == 1 and x.record_type == "conversion"]
     assert one[0] == one[1] and one[0].text == "T & t\none two\nthree four"
     first = next(x.record for x in source.collect() if x.page_id == 1)
@@ -582,8 +721,42 @@ def test_warc_derivatives_link_to_their_source(spark):
     assert again.block == metadata.block and b"source-WARC-Target-URI: http://a/b\r\n" in metadata.block and b"links: 1\r\n" in metadata.block
     assert conversion.get("WARC-Target-URI") == "http://a/b" and all("\n" not in (x.target_uri or "") for x in got)
     bad = spark.createDataFrame([(1, bytes(first).replace(b"one", b"0ne")), (2, None), (3, b"WARC/1.1\r\n\r\n")], "page_id bigint, record binary")
-    assert [x.record_type for x in warc.derive(bad).collect()] == ["error"] * 3
-    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    assert sorted((x.page_id, x.fault is not None, x.record) for x in warc.derive(bad).collect()) == [(i, True, None) for i in (1, 2, 3)]
+    said = warc.write(warc.derive(bad), shared.scratch(spark, "t")).collect()
+    assert sorted(x.page_id for x in said) == [1, 2, 3] and all(x.path is None and x.fault for x in said)
+    assert warc.write(warc.derive(warc.responses(pages.limit(0))), shared.scratch(spark, "t")).count() == 0
+
+
+def test_warc_files_are_plain_and_hand_made_ones_are_read(spark, tmp_path):
+    import base64
+    import gzip
+
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    block = b"f: 1\r\n"
+    by_hand = b"WARC/1.0\r\nWARC-Type: metadata\r\nwarc-record-id: <urn:x>\r\nContent-Length: 6\r\nWARC-Block-Digest: " + sha(block).encode() + b"\r\nX-Long: a\r\n  b\r\n\r\n" + block + b"\r\n\r\n"
+    (tmp_path / "good.warc.gz").write_bytes(gzip.compress(by_hand) + gzip.compress(by_hand.replace(b"metadata", b"warcinfo")))
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(by_hand) + gzip.compress(by_hand.replace(b"f: 1", b"f: 2")))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(by_hand)[:-9])
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.gz",) for n in ("good", "bad", "cut")], "path string")
+    got = sorted(x.record_type for x in warc.read(paths).collect())
+    assert got == ["error", "error", "metadata", "metadata", "warcinfo"]
+    record, _ = warc.parse(by_hand)
+    assert record.get("X-LONG") == "a b" and record.get("WARC-Record-ID") == "<urn:x>"
+    pages = spark.createDataFrame([(9, "http://a", "<p>x</p>y")], "page_id bigint, url string, html string")
+    (file,) = warc.write(warc.derive(warc.responses(pages)), f"file://{tmp_path}/out").collect()
+    plain = gzip.decompress(open(file.path[7:], "rb").read())
+    assert plain.count(b"WARC/1.1\r\n") == 2 and plain.endswith(b"\r\n\r\nx\ny\r\n\r\n") and sha(b"x\ny").encode() in plain and b"Page-ID: 9\r\n" in plain
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for part in ("<script>", "<a ", "<!--", "<", "</script ", "<style></styl", "<a href ", "&", "<p>" + " " * 9, "<template><!--"):
+        began = time.perf_counter()
+        warc.text_and_links(part * 60_000)
+        assert time.perf_counter() - began < 5
+    assert warc.text_and_links("a<script>b") == ("ab", 0) and warc.text_and_links("a < b <c") == ("a < b <c", 0)
+    assert warc.text_and_links("<a x>1</a><a HREF = 'y'>2</a><a-b href=1><!-- <a href=3> -->") == ("12", 2)
 
 
 # -- the pipeline
