@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,30 +216,32 @@ def member(record: bytes) -> bytes:
     return gzip.compress(record, 1, mtime=0)
 
 
+def derived_rows(page_id: int | None, data: bytes | None) -> Iterator[tuple[int | None, bytes | None, str | None]]:
+    """(page_id, record, fault): the two derived records of a response record, or its fault."""
+    try:
+        metadata, conversion, _ = derivatives(data or b"")
+    except ValueError as e:
+        yield page_id, None, str(e)
+        return
+    yield page_id, record_bytes(metadata), None
+    yield page_id, record_bytes(conversion), None
+
+
 def derive(records: DataFrame) -> DataFrame:
     """page_id, record (binary), fault: two derived records for each row (page_id, record), or one row with the fault."""
 
-    def rows(page_id: int | None, data: bytes | None) -> Iterator[tuple]:
-        try:
-            metadata, conversion, _ = derivatives(data or b"")
-        except ValueError as e:
-            yield page_id, None, str(e)
-            return
-        yield page_id, record_bytes(metadata), None
-        yield page_id, record_bytes(conversion), None
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                found = [r for p, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows(p, d)]
+                found = [r for p, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in derived_rows(p, d)]
                 yield dict(zip(("page_id", "record", "fault"), map(list, zip(*found, strict=True)), strict=True))
 
     return arrow_map(records.select("page_id", "record"), work, "page_id bigint, record binary, fault string")
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
-    """Writes a file a task of the records (page_id, record, fault) under folder (a URI); returns the manifest.
+    """Derives from response records (page_id, record) and writes a file a task under folder (a URI); returns the manifest.
 
     The manifest (path, records, page_id, fault) has a row for each file, and one for each fault.
     """
@@ -248,22 +249,25 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         name, out, n = f"{folder}/derived-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
-            for data in batch.column(1).to_pylist():
-                if data is not None:
+            bad = []
+            for page_id, source in zip(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1)), strict=True):
+                for _, data, fault in derived_rows(page_id, source):
+                    if data is None:
+                        bad.append((page_id, fault))
+                        continue
                     if out is None:
                         system, at = fs.FileSystem.from_uri(name)
                         system.create_dir(at.rpartition("/")[0], recursive=True)
                         out = system.open_output_stream(at, compression=None)
                     out.write(member(data))
                     n += 1
-            bad = batch.filter(pc.is_valid(batch.column(2)))
-            if bad.num_rows:
-                yield {"path": [None] * bad.num_rows, "records": [0] * bad.num_rows, "page_id": bad.column(0), "fault": bad.column(2)}
+            if bad:
+                yield {"path": [None] * len(bad), "records": [0] * len(bad), "page_id": [p for p, _ in bad], "fault": [f for _, f in bad]}
         if out is not None:
             out.close()
             yield {"path": [name], "records": [n], "page_id": [None], "fault": [None]}
 
-    return written(arrow_map(records.select("page_id", "record", "fault"), work, "path string, records bigint, page_id bigint, fault string"), "manifest")
+    return written(arrow_map(records.select("page_id", "record"), work, "path string, records bigint, page_id bigint, fault string"), "manifest")
 
 
 def members(path: str) -> Iterator[bytes]:
@@ -316,7 +320,7 @@ def read(paths: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the derivatives of all pages as WARC files, and reads them back."""
-    manifest = write(derive(responses(table(spark, sf_dir, "pages"))), scratch(spark, "warc"))
+    manifest = write(responses(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
     files = manifest.where("path is not null").select("path")
     faults = manifest.where("fault is not null")
     named = [f.name for f in read(files.limit(0)).schema]
