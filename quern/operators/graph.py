@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.ratios import half_even, ratio
+from quern.operators import dense
 
 #: The largest graphs that get a closure, a betweenness, and a betweenness inside one tangle.
 CLOSURE_NODES, BETWEENNESS_NODES, TANGLE_NODES = 3000, 1200, 400
@@ -22,10 +25,12 @@ DAMPING, SWEEPS = 0.85, 40
 
 
 def step(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where that is unset) and read again."""
+    """df written to the folder of spark.checkpoint.dir (on a single machine a temporary one where that is unset) and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
@@ -100,17 +105,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweep
     return rank.select("id", half_even(F.col("rank") * n, 3).alias("pagerank"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst) joined by a path of one edge or more; each round doubles the paths' length."""
-    paths = step(edges.select("src", "dst").distinct())
-    size = paths.count()
+def in_one_task(pairs: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """A kernel of `dense` on all pairs (src, dst); only for graphs of a checked number of nodes."""
+    return pairs.select("src", "dst").groupBy().applyInArrow(kernel, schema)
+
+
+def closure(edges: DataFrame, most: int = CLOSURE_NODES) -> DataFrame:
+    """Distinct (src, dst) joined by a path of one edge or more.
+
+    Graphs of up to `most` nodes are a bit matrix in one task.  Beyond, only the pairs that are new go on by an edge
+    each round, so every pair meets each edge once.
+    """
+    pairs = step(edges.select("src", "dst").distinct())
+    if pairs.select("src").union(pairs.select("dst")).distinct().limit(most + 1).count() <= most:
+        return step(in_one_task(pairs, dense.closure, "src string, dst string"))
+    parts, new = [pairs], pairs
+    ahead = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
     while True:
-        longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        paths = step(paths.unionByName(longer).distinct())
-        grown = paths.count()
-        if grown == size:
-            return paths
-        size = grown
+        longer = new.join(ahead, "dst").select("src", F.col("far").alias("dst")).distinct()
+        new = step(longer.join(reduce(DataFrame.unionByName, parts), ["src", "dst"], "left_anti"))
+        if not new.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(new)
 
 
 def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = False, cap: int = CLOSURE_NODES) -> DataFrame:
@@ -124,30 +140,6 @@ def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = Fa
     return reached.select(F.lit(n).cast("bigint").alias("nodes"), half_even((F.col("pairs") + (n if include_self else 0)) / float(n * n), 4).alias("cost"), F.lit("").alias("note"))
 
 
-def betweenness_sums(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, score) before any scaling: Brandes' accumulation, all sources at once, level by level out and back."""
-    pairs = step(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = step(ids.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    levels, level = [seen], seen
-    while True:
-        ahead = level.join(pairs, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.max("dist").alias("d"), F.sum("sigma").alias("sigma"))
-        level = step(ahead.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", (F.col("d") + 1).alias("dist"), "sigma"))
-        if not level.limit(1).count():
-            break
-        levels.append(level)
-        seen = reduce(DataFrame.unionByName, levels)
-    delta, done = None, []
-    for i in range(len(levels) - 1, 0, -1):
-        here = levels[i]
-        here = step(here.withColumn("delta", F.lit(0.0)) if delta is None else here.join(delta, ["source", "node"], "left").na.fill(0.0, ["delta"]))
-        done.append(here.select("node", "delta"))
-        back = here.join(pairs, F.col("node") == F.col("dst")).select("source", F.col("src").alias("pred"), (1 + F.col("delta")).alias("d"), F.col("sigma").alias("s"))
-        before = levels[i - 1].select("source", F.col("node").alias("pred"), F.col("sigma").alias("ps"))
-        delta = back.join(before, ["source", "pred"]).groupBy("source", F.col("pred").alias("node")).agg(F.sum(F.col("ps") / F.col("s") * F.col("d")).alias("delta"))
-    total = reduce(DataFrame.unionByName, done).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("score")) if done else ids.limit(0).withColumn("score", F.lit(0.0))
-    return ids.join(total, "id", "left").na.fill(0.0, ["score"])
-
-
 def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = BETWEENNESS_NODES) -> tuple[DataFrame, str]:
     """(id, betweenness) and a note; directed and unweighted, over (n - 1)(n - 2), which is left out for up to two nodes."""
     ids = nodes.select("id")
@@ -157,7 +149,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = BETWEENNESS_NODES
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     scale = float((n - 1) * (n - 2))
     score = half_even(F.col("score") / scale, 4) if scale > 0 else F.col("score")
-    return betweenness_sums(ids, inside).select("id", score.alias("betweenness")), ""
+    raw = in_one_task(inside, dense.brandes, "id string, score double")
+    return ids.join(raw, "id", "left").na.fill(0.0, ["score"]).select("id", score.alias("betweenness")), ""
 
 
 def spread_least(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -170,15 +163,18 @@ def spread_least(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most: int = CLOSURE_NODES) -> DataFrame:
     """(id, scc): the least id of each strongly connected component, singletons included.
 
-    Nodes without an edge in or out of the rest are trimmed off as singletons, round by round.  Then each node is
+    Graphs of up to `most` nodes with an edge are a bit matrix in one task.  Beyond, nodes without an edge in or out of the rest are trimmed off as singletons, round by round.  Then each node is
     coloured by the least id that reaches it, and what reaches a colour's own node within the colour is its component;
     found components go, and the rest starts over.
     """
     ids = nodes.select("id")
     left = step(edges.where("src <> dst").select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    if left.select("src").union(left.select("dst")).distinct().limit(most + 1).count() <= most:
+        strong = in_one_task(left, dense.strong, "id string, scc string")
+        return ids.join(strong, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
     found: list[DataFrame] = []
     while True:
         size = left.count()
@@ -259,13 +255,12 @@ def shape_ratios(scc: DataFrame, edges: DataFrame) -> DataFrame:
 def hub_spread(scc: DataFrame, edges: DataFrame, cap: int = TANGLE_NODES) -> DataFrame:
     """scc, hub (gini of the betweenness inside), hub_note: NULL and a note above the cap.
 
-    The tangles share no edge, so one pass over the graph of inner edges serves them all; scores are scaled by the
-    size of their own tangle.
+    Each tangle up to the cap is a task's matrix; scores are scaled by the size of the tangle.
     """
     sizes = scc.groupBy("scc").agg(F.count("*").alias("size")).where("size >= 2")
     small = scc.join(sizes.where(F.col("size") <= cap), "scc")
     inside = inner_edges(scc, edges).join(sizes.where(F.col("size") <= cap), "scc")
-    raw = betweenness_sums(small.select("id"), inside)
+    raw = inside.groupBy("scc").applyInArrow(lambda t: dense.brandes(t), "id string, score double")
     scale = ((F.col("size") - 1) * (F.col("size") - 2)).cast("double")
     scores = small.join(raw, "id").select("scc", F.when(scale > 0, half_even(F.col("score") / scale, 4)).otherwise(F.col("score")).alias("score"))
     note = F.concat(F.lit("cycle shape: betweenness skipped for a "), F.col("size").cast("string"), F.lit(f"-node tangle (cap {cap}); multi-hub was not tested"))
@@ -388,16 +383,19 @@ def legality(edges: DataFrame, role: DataFrame) -> DataFrame:
 
 
 def port_health(role: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each port's resolvers, whether one of them is an absent one, its first contract suite (a test that imports it),
-    and those outside root, resolver, registry and test that import it from another folder."""
-    ports = role.where("role = 'port'").select(F.col("id").alias("port"), F.col("dir").alias("port_dir"))
-    importers = edges.select(F.col("src").alias("importer"), F.col("dst").alias("port")).distinct().join(role.select(F.col("id").alias("importer"), "path", "role", "dir"), "importer")
+    """Each port's resolvers, whether one of them is an absent one, the path of its first contract suite (of the tests that
+    import it and have the word `contract` in their name, the one with the least id), and the sorted services and
+    adapters that import it past the root."""
+    ports = role.where("role = 'port'").select(F.col("id").alias("port"))
+    importers = edges.select(F.col("src").alias("importer"), F.col("dst").alias("port")).distinct().join(role.select(F.col("id").alias("importer"), "path", "role"), "importer")
     rows = ports.join(importers, "port", "left")
     resolver = F.col("role") == "resolver"
+    suite = (F.col("role") == "test") & F.array_contains(name_words(F.col("path")), "contract")
+    past = F.array_sort(F.collect_list(F.when(F.col("role").isin("service", "adapter"), F.col("importer"))))
     return rows.groupBy("port").agg(
         F.count_if(resolver).alias("resolvers"), F.coalesce(F.bool_or(resolver & is_absent_resolver(F.col("path"))), F.lit(False)).alias("has_absent_resolver"),
-        F.min(F.when(F.col("role") == "test", F.col("importer"))).alias("contract_suite"), F.count_if((F.col("role") == "root")).alias("root_imports"),
-    )
+        F.min(F.when(suite, F.struct("importer", "path"))).alias("suite"), past.alias("imported_outside_root"),
+    ).select("port", "resolvers", "has_absent_resolver", F.col("suite.path").alias("contract_suite"), "imported_outside_root")
 
 
 def role_counts(role: DataFrame) -> DataFrame:
@@ -421,9 +419,10 @@ def by_language(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("lang").agg(F.count("*").alias("nodes"), F.sum("loc").alias("loc"), F.sum("unresolved").alias("unresolved"), F.when(F.first("lang") == "python", "native").otherwise("lexical").alias("fidelity"))
 
 
-def verdict(illegal: Column, tangles_: Column, edges: Column) -> Column:
-    """Ours, from counts alone: SOUND without tangles and illegal edges, ERODED with more than a tenth illegal, else DRIFTING."""
-    return F.when((illegal == 0) & (tangles_ == 0), "SOUND").when(illegal * 10 > edges, "ERODED").otherwise("DRIFTING")
+def verdict(cycles: Column, blockers: Column, files_over: Column, files: Column, ports_without_suite: Column) -> Column:
+    """SOUND, DRIFTING or ERODED from counts: cycles, blockers (illegal edges), files over any limit, ports without a suite."""
+    sound = (cycles == 0) & (blockers == 0) & (files_over * 100 < files * 5) & (ports_without_suite == 0)
+    return F.when(sound, "SOUND").when((cycles <= 2) & (blockers <= 2) & (files_over * 100 < files * 20), "DRIFTING").otherwise("ERODED")
 
 
 def top_fan_in(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:

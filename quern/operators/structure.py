@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values: (metric, warn, hard); a NULL warn has one step only.
 LIMITS = [("file_lines", 200, 250), ("method_lines", 15, 25), ("nesting", None, 1), ("loop_body", None, 8), ("params", 3, 4), ("public", 5, 7), ("folder_files", 5, 7), ("else_branch", None, 0)]
-#: The linter's limits and the names that it finds vague.
-LINT_FILE_LINES, LINT_METHOD_LINES, LINT_LOOP_LINES = 250, 25, 8
 NOT_COUNTED = [".tf", ".tfvars", ".h", ".hpp"]
-PRAGMA = r"exempt\s+([a-z_, ]+?)\s*(?:--\s*(.*))?$"
+#: How a comment begins that exempts the next line of code, and what parts its metrics from the reason.
+MARK, REASON = "# quern:exempt", "--"
 
 
 def line_count(text: Column) -> Column:
@@ -52,18 +51,21 @@ def exempted(found: DataFrame, exemptions: DataFrame) -> DataFrame:
     return rows.select("path", "metric", "severity", "value", "cap").unionByName(bare)
 
 
-def pragmas(lines: DataFrame) -> DataFrame:
-    """lines(path, line, text) -> path, line, metrics, reason: a pragma comment holds for the next line of code.
+def pragmas(lines: DataFrame, mark: str = MARK) -> DataFrame:
+    """lines(path, line, text) -> path, line, metric, reason: a comment that begins with the mark holds for the next line of code.
 
-    Blank lines and comments between are passed over; a line of code uses up what stands before it.
+    Its metrics stand before the first REASON, parted by commas or blanks; each gives a row, and a reason may be empty.
+    Blank lines and other comments between are passed over; a line of code uses up what stands before it.
     """
-    bare = F.trim("text")
-    said = F.when(bare.startswith("#") & F.regexp_like("text", F.lit(PRAGMA)), F.struct(F.regexp_extract("text", PRAGMA, 1).alias("metrics"), F.regexp_extract("text", PRAGMA, 2).alias("reason"), F.col("line").alias("at")))
-    rows = lines.withColumn("said", said).withColumn("code", (bare != "") & ~bare.startswith("#"))
+    bare = F.trim(F.regexp_replace("text", r"\s", " "))
+    body = F.substring(bare, F.lit(len(mark) + 1), F.length(bare))
+    told = F.struct(F.substring_index(body, REASON, 1).alias("metrics"), F.trim(F.when(F.contains(body, F.lit(REASON)), F.expr("substring(body, instr(body, '--') + 2)")).otherwise("")).alias("reason"), F.col("line").alias("at"))
+    rows = lines.withColumn("bare", bare).withColumn("body", body)
+    rows = rows.withColumn("said", F.when(F.col("bare").startswith(mark), told)).withColumn("code", (F.col("bare") != "") & ~F.col("bare").startswith("#"))
     by = Window.partitionBy("path").orderBy("line")
     rows = rows.withColumn("last_said", F.last("said", ignorenulls=True).over(by)).withColumn("last_code", F.last(F.when(F.col("code"), F.col("line")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.where(F.col("code") & F.col("last_said").isNotNull() & (F.col("last_code").isNull() | (F.col("last_said.at") > F.col("last_code"))))
-    metrics = F.transform(F.split("last_said.metrics", ","), lambda x: F.trim(x))
+    metrics = F.array_distinct(F.filter(F.split("last_said.metrics", "[ ,]+"), lambda x: x != ""))
     return rows.select("path", "line", F.explode(metrics).alias("metric"), F.col("last_said.reason").alias("reason"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: The folders and name stems of the modules' made-up paths; they reach every role and every legality rule.
 FOLDERS = ["src/billing", "src/billing/rules", "src/billing/rules/tax", "src/shipping", "src/shipping/adapters", "src/utils", "src", "tests/billing"]
-STEMS = ["price_port", "FixedPrice", "order_service", "noop_price", "rule_registry", "request_context", "composition_root", "ledger", "tax_policy", "carrier", "test_price"]
+STEMS = ["price_port", "FixedPrice", "order_service", "noop_price", "rule_registry", "request_context", "composition_root", "ledger", "tax_policy", "carrier", "test_price", "contract_price"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -222,10 +222,17 @@ def g_legality(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFr
     return g.legality(edges, g.roles(nodes, edges))
 
 
-@query(f"WITH {b.GRAPH_SQL}, {ROLE_SQL} SELECT p.id AS port, count(*) FILTER (i.role = 'resolver') AS resolvers, coalesce(bool_or(i.role = 'resolver' AND regexp_matches(i.path, '(^|[^A-Za-z])(absent|null|noop|none|missing)[^A-Za-z]')), false) AS has_absent_resolver, min(i.id) FILTER (i.role = 'test') AS contract_suite, count(*) FILTER (i.role = 'root') AS root_imports FROM roles p LEFT JOIN edges e ON e.dst = p.id LEFT JOIN roles i ON i.id = e.src WHERE p.role = 'port' GROUP BY 1")
+PORT_SQL = r"""health AS MATERIALIZED (SELECT p.id AS port, count(*) FILTER (i.role = 'resolver') AS resolvers,
+  coalesce(bool_or(i.role = 'resolver' AND regexp_matches(i.path, '(^|[^A-Za-z])(absent|null|noop|none|missing)[^A-Za-z]')), false) AS has_absent_resolver,
+  arg_min(i.path, i.id) FILTER (i.role = 'test' AND i.path LIKE '%/contract!_%' ESCAPE '!') AS contract_suite,
+  coalesce(list_sort(list(i.id) FILTER (i.role IN ('service', 'adapter'))), []) AS imported_outside_root
+  FROM roles p LEFT JOIN edges e ON e.dst = p.id LEFT JOIN roles i ON i.id = e.src WHERE p.role = 'port' GROUP BY 1)"""
+
+
+@query(f"WITH {b.GRAPH_SQL}, {ROLE_SQL}, {PORT_SQL} SELECT port, resolvers, has_absent_resolver, contract_suite, array_to_string(imported_outside_root, ' ') AS imported_outside_root FROM health")
 def g_port_health(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
     nodes, edges = both(spark, sf_dir, each)
-    return g.port_health(g.roles(nodes, edges), edges)
+    return g.port_health(g.roles(nodes, edges), edges).withColumn("imported_outside_root", F.array_join("imported_outside_root", " "))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT count(*) AS nodes, sum(loc)::BIGINT AS loc, sum(types)::BIGINT AS types, sum(unresolved)::BIGINT AS unresolved, (SELECT count(*) FROM edges) AS edges, (SELECT sum(weight)::BIGINT FROM edges) AS imports, round_even(2 * (SELECT count(*) FROM edges) / count(*)::DOUBLE, 2) AS avg_degree FROM nodes")
@@ -245,12 +252,21 @@ def g_vacuous_acyclicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.vacuous_acyclicity(nodes, spark.createDataFrame([], "src string, dst string, weight bigint"))
 
 
-@query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {LEGAL_SQL}, n AS (SELECT (SELECT count(*) FROM judged WHERE reason <> '') AS illegal, (SELECT count(*) FROM sizes) AS tangles, (SELECT count(*) FROM edges) AS edges) SELECT illegal, tangles, edges, CASE WHEN illegal = 0 AND tangles = 0 THEN 'SOUND' WHEN illegal * 10 > edges THEN 'ERODED' ELSE 'DRIFTING' END AS verdict FROM n")
+@query(f"""WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {LEGAL_SQL}, {PORT_SQL}, n AS (SELECT (SELECT count(*) FROM sizes) AS cycles, (SELECT count(*) FROM judged WHERE reason <> '') AS blockers,
+  (SELECT count(*) FROM nodes WHERE loc > 250) AS files_over, (SELECT count(*) FROM nodes) AS files, (SELECT count(*) FROM health WHERE contract_suite IS NULL) AS ports_without_suite)
+  SELECT *, CASE WHEN cycles = 0 AND blockers = 0 AND files_over < 0.05 * files AND ports_without_suite = 0 THEN 'SOUND'
+    WHEN cycles <= 2 AND blockers <= 2 AND files_over < 0.2 * files THEN 'DRIFTING' ELSE 'ERODED' END AS verdict FROM n""")
 def g_verdict(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
     nodes, edges = both(spark, sf_dir, each)
-    bad = g.legality(edges, g.roles(nodes, edges)).agg(F.count_if(~F.col("legal")).alias("illegal"), F.count("*").alias("edges"))
-    found = g.tangles(g.components(nodes, edges)).agg(F.count("*").alias("tangles"))
-    return bad.crossJoin(found).select("illegal", "tangles", "edges", g.verdict(F.col("illegal"), F.col("tangles"), F.col("edges")).alias("verdict"))
+    role = g.roles(nodes, edges)
+    counts = [
+        g.tangles(g.components(nodes, edges)).agg(F.count("*").alias("cycles")),
+        g.legality(edges, role).agg(F.count_if(~F.col("legal")).alias("blockers")),
+        nodes.agg(F.count_if(F.col("loc") > 250).alias("files_over"), F.count("*").alias("files")),
+        g.port_health(role, edges).agg(F.count_if(F.col("contract_suite").isNull()).alias("ports_without_suite")),
+    ]
+    rows = reduce(DataFrame.crossJoin, counts)
+    return rows.withColumn("verdict", g.verdict(*map(F.col, ("cycles", "blockers", "files_over", "files", "ports_without_suite"))))
 
 
 # -- our readings of measures that are stated as formulas alone

@@ -165,7 +165,34 @@ def test_every_legality_rule(spark):
     assert {r.id: r.role for r in role.collect()}["v1"] == "resolver"
     assert {(r.src, r.dst): r.reason for r in g.legality(edges, role).collect()} == want
     health = one(g.port_health(role, edges))
-    assert (health.port, health.resolvers, health.has_absent_resolver, health.contract_suite) == ("p", 2, False, None)
+    assert (health.port, health.resolvers, health.has_absent_resolver, health.contract_suite, health.imported_outside_root) == ("p", 2, False, None, [])
+
+
+def test_port_health_wants_a_contract_suite_and_names_who_reaches_past_the_root(spark):
+    paths = {"p": "src/a/price_port.py", "t1": "tests/price.py", "t2": "tests/price_contract.py", "t3": "tests/contract_b.py", "o": "src/b/one.py", "n": "src/b/two.py", "m": "src/main.py"}
+    nodes = spark.createDataFrame([(i, p, "python", 1, 0, 0, 0) for i, p in paths.items()], NODE)
+    edges = spark.createDataFrame([(i, "p", 1) for i in paths if i != "p"], "src string, dst string, weight bigint")
+    health = one(g.port_health(g.roles(nodes, edges), edges))
+    assert health.contract_suite == "tests/price_contract.py" and health.imported_outside_root == ["n", "o"]
+
+
+def test_verdict_by_the_stated_thresholds(spark):
+    rows = [(0, 0, 4, 100, 0), (0, 0, 5, 100, 0), (0, 0, 0, 100, 1), (2, 2, 19, 100, 9), (3, 0, 0, 100, 0), (0, 3, 0, 100, 0), (0, 0, 20, 100, 0)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int")
+    got = [r.v for r in df.select(g.verdict(*map(F.col, "abcde")).alias("v")).collect()]
+    assert got == ["SOUND", "DRIFTING", "DRIFTING", "DRIFTING", "ERODED", "ERODED", "ERODED"]
+
+
+def test_large_graphs_go_the_other_way_and_agree(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(55)}
+    edges = spark.createDataFrame([(*p, 1) for p in pairs], "src string, dst string, weight bigint")
+    nodes = spark.createDataFrame([(f"n{i}", "a.py", "python", 1, 0, 0, 0) for i in range(42)], NODE)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(g.closure(edges), g.closure(edges, most=3)) and same(g.components(nodes, edges), g.components(nodes, edges, most=3))
+    assert g.closure(edges.limit(0)).count() == 0 and g.components(nodes, edges.limit(0)).count() == 42
 
 
 def test_names(spark):
@@ -184,7 +211,7 @@ def test_limits_and_exemptions(spark):
     assert {(r.path, r.severity, r.cap) for r in found.collect()} == {("a", "minor", 200), ("b", "major", 250), ("c", "minor", 200)}
     why = spark.createDataFrame([("b", "file_lines", "generated"), ("c", "file_lines", " ")], "path string, metric string, reason string")
     assert {(r.path, r.metric, r.severity) for r in st.exempted(found, why).collect()} == {("a", "file_lines", "minor"), ("b", "file_lines", "exempt"), ("c", "file_lines", "minor"), ("c", "exempt_without_reason", "major")}
-    lines = ["# exempt method_lines, nesting -- vendored", "", "# note", "def f():", "    pass", "# exempt params", "x = 1", "y = 2"]
+    lines = ["# quern:exempt method_lines nesting, -- vendored", "", "# rows exempt from the check", "def f():", "    pass", "# quern:exempt params", "x = 1", "y = 2"]
     held = st.pragmas(spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(lines)], "path string, line int, text string")).collect()
     assert {(r.line, r.metric, r.reason) for r in held} == {(4, "method_lines", "vendored"), (4, "nesting", "vendored"), (7, "params", "")}
     files = spark.createDataFrame([(f"wide/{i}.py",) for i in range(9)] + [("wide/0.py",), ("wide/deep/x.py",), ("infra/a.tf",), ("infra/b.h",)], "path string")
@@ -241,6 +268,12 @@ def test_longest_tail_and_ambiguity(spark):
     assert {r.src: r.unresolved for r in scan.unresolved(found).collect()} == {"src.use": 2}
 
 
+def test_imports_past_the_root_are_counted(spark):
+    files = [("a/b/c.py", "from .... import x\nfrom ...y import z\nfrom . import d\nfrom .e import f\nfrom .g import *\nimport os.path")]
+    row = one(scan.records(spark.createDataFrame(files, "path string, text string")))
+    assert row.raw == ["a.b", "a.b.e", "a.b.g", "os.path", "y"] and row.raw_maybe == ["a.b.d", "a.b.e.f", "y.z"] and row.too_deep == 1 and row.id == "a.b.c"
+
+
 def test_other_languages(spark):
     files = [
         ("web/a.ts", "import x from './b'\nimport '../c/index.js'\nconst d = require('react')\nimport('@/e/f')\nexport interface I {}\nclass K {}"), ("web/b/index.ts", ""),
@@ -250,7 +283,8 @@ def test_other_languages(spark):
     got = {r.path: r for r in scan.records(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got["web/a.ts"].raw == ["c", "e/f", "web/b"] and (got["web/a.ts"].types, got["web/a.ts"].abstract) == (2, 1)
     assert got["j/A.java"].raw == ["p.q.B"] and got["j/A.java"].pkg == "p.q" and got["j/A.java"].types == 2 and got["k/B.kt"].raw == ["p.q.A"]
-    assert got["g/x.go"].raw == ["m/h", "m/i", "m/j"] and (got["g/x.go"].types, got["g/x.go"].abstract) == (2, 1) and "n.txt" not in got
+    assert got["g/x.go"].raw == ["m/h", "m/i", "m/j"] and (got["g/x.go"].types, got["g/x.go"].abstract) == (2, 1)
+    assert (got["n.txt"].raw, got["n.txt"].types, got["n.txt"].lang, got["n.txt"].loc) == ([], None, None, 1)
     pairs = {(r.src, r.dst) for r in scan.edges(scan.resolved(scan.nodes(scan.records(spark.createDataFrame(files, "path string, text string"))))).collect()}
     assert pairs == {("web/a", "web/b"), ("p.q.A", "p.q.B"), ("p.q.B", "p.q.A")}
 
