@@ -250,7 +250,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         name, out, n = f"{folder}/derived-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             bad = []
-            for page_id, source in zip(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1)), strict=True):
+            for page_id, source in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
                 for _, data, fault in derived_rows(page_id, source):
                     if data is None:
                         bad.append((page_id, fault))
