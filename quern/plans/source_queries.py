@@ -1,6 +1,6 @@
 """Queries of source scans on the driver's tables: documents as files, their words as the code.
 
-Parsing has no SQL twin; the tests hold these against authored sources.
+Parsing of Python has no SQL twin; the tests hold these against authored sources.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans import bindings as b
-from quern.sources import pycode, scan
+from quern.sources import braces, pycode, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,3 +70,35 @@ def s_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document counts a thousand bytes for each character; French ones have no known extension."""
     d = b.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".txt").otherwise(".py")).alias("path"), F.when(F.col("n_chars") > 5000, scan.MOST_BYTES + 1).otherwise(F.col("n_chars")).alias("length"))
     return scan.admitted(d).groupBy("refused").agg(F.count("*").alias("n"))
+
+
+def brace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier is a file with one function, whose parameters, lines, branches and loop follow from its key."""
+    k, z = F.col("s_suppkey"), F.col("s_nationkey") % 4
+    by_lang = lambda ts, java, go: F.when(k % 3 == 0, ts).when(k % 3 == 1, java).otherwise(go)
+    some = lambda n, line: F.repeat(F.lit(line + "\n"), n.cast("int"))
+    each = F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest((k % 6).cast("int"), F.lit(1))), lambda i: by_lang(F.concat(F.lit("p"), i, F.lit(": Map<string, number>")), F.concat(F.lit("Map<K, V> p"), i), F.concat(F.lit("p"), i, F.lit(" int")))))
+    given = F.array_join(each, ",\n")
+    opens = F.concat(by_lang(F.lit("/* { */ export function f("), F.concat(F.lit("class C {\n"), some(k % 9, "public int a;"), F.lit("public void f(")), F.lit("func f(")), given, F.lit(") {\n"))
+    loop = F.when(k % 5 == 0, F.concat(by_lang(F.lit("for (i = 0; i < 9; i++) {\n"), F.lit("while (a) {\n"), F.lit("for i := 0; i < 9; i++ {\n")), some(k % 12, "y();"), F.lit("}\n"))).otherwise("")
+    other = F.when(k % 7 == 0, "if (a) {\n} else {\n}\n").otherwise("")
+    body = F.concat(some(k % 30, "x = \"{\"; // }"), some(z, "if (a) {"), some(z, "}"), loop, other, F.lit("}\n"), by_lang(F.lit(""), F.lit("}\n"), F.lit("")))
+    path = F.concat(F.lit("s"), k.cast("string"), by_lang(F.lit(".ts"), F.lit(".java"), F.lit(".go")))
+    return b.table(spark, sf_dir, "supplier").select(path.alias("path"), F.concat(opens, body, F.when(k % 11 == 0, "{\n").otherwise("")).alias("text"))
+
+
+BRACES_SQL = """WITH k AS (SELECT s_suppkey AS k, s_nationkey % 4 AS z, 's' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.java' ELSE '.go' END AS path FROM supplier),
+m AS (SELECT path, 'params' AS metric, k % 6 AS value, 3 AS warn, 4 AS hard FROM k
+UNION ALL SELECT path, 'method_lines', k % 30 + 2 * z + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 5 = 0 THEN k % 12 + 2 ELSE 0 END, 15, 25 FROM k
+UNION ALL SELECT path, 'nesting', greatest(z, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 1 ELSE 0 END), NULL, 1 FROM k
+UNION ALL SELECT path, 'loop_body', k % 12 + 1, NULL, 8 FROM k WHERE k % 5 = 0
+UNION ALL SELECT path, 'else_branch', 1, NULL, 0 FROM k WHERE k % 7 = 0
+UNION ALL SELECT path, 'public', k % 9, 5, 7 FROM k WHERE k % 3 = 1
+UNION ALL SELECT path, 'unbalanced_braces', 1, 0, 999 FROM k WHERE k % 11 = 0)
+SELECT path, metric, value::BIGINT AS value, CASE WHEN value > hard THEN 'major' ELSE 'minor' END AS severity, CASE WHEN value > hard THEN hard ELSE warn END AS cap FROM m WHERE value > hard OR value > warn"""
+
+
+@query(BRACES_SQL)
+def c_brace_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of the words finds above the limits is what the files were made with."""
+    return braces.violations(braces.measures(brace_files(spark, sf_dir))).select("path", "metric", F.col("value").cast("long").alias("value"), "severity", "cap")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluation as ev
 from quern.operators import graph as g
 from quern.operators import structure as st
-from quern.sources import pycode, scan
+from quern.sources import braces, pycode, scan
 
 NODE = "id string, path string, lang string, loc bigint, types bigint, abstract bigint, unresolved bigint"
 
@@ -379,3 +379,56 @@ def test_skipped_betweenness_says_why_as_its_twin_does(spark, tmp_path):
     got = QUERIES["g_betweenness_noted"](spark, str(tmp_path)).select("betweenness", "note").distinct().collect()
     want = con.sql(f"SELECT DISTINCT betweenness, note FROM ({ORACLE_SQL['g_betweenness_noted']})").fetchall()
     assert [tuple(x) for x in got] == want == [(None, "betweenness skipped: 1201 nodes exceeds cap 1200")]
+
+
+def test_brace_measures_by_language(spark):
+    ts = """/* { a block
+   over lines { */
+export class Shop {
+  open(a: string, b = "x, {") {
+    for (let i = 0; i < 3; i++) {
+      if (a) { b() } else if (b) { c() }
+      else { d() }
+    }
+  }
+  close() { return `}` }
+  private hide() { }
+  total(): number { return 1 } // } else {
+}
+const twice = (x) => {
+  list.forEach(y => { if (y) { inner() } })
+}
+"""
+    java = "interface Port {\n  public int a();\n  public int b();\n}\nclass C {\n  void f(Map<K, V> m,\n    int n) throws E {\n    while (a) {\n      x();\n    }\n  }\n"
+    go = "# {\nfunc (r *T) Run(a int, b int) error {\n\tfor i := 0; i < 9; i++ {\n\t\tx()\n\t}\n}\ntype T struct {\n\tName string\n\thidden int\n}\n"
+    rows = [("s.ts", ts), ("C.java", java), ("t.go", go), ("p.py", "{"), ("empty.go", ""), ("null.ts", None), ("open.js", "function f() {")]
+    found = {}
+    for r in braces.measures(spark.createDataFrame(rows, "path string, text string")).collect():
+        found.setdefault((r.path, r.metric, r.name), []).append((r.line, r.value))
+    assert found == {
+        ("s.ts", "params", "open"): [(4, 2)], ("s.ts", "method_lines", "open"): [(4, 4)], ("s.ts", "nesting", "open"): [(6, 2)], ("s.ts", "loop_body", "open"): [(5, 3)],
+        ("s.ts", "else_branch", "open (else if)"): [(6, 1)], ("s.ts", "else_branch", "open (else)"): [(7, 1)],
+        ("s.ts", "params", "close"): [(10, 0)], ("s.ts", "method_lines", "close"): [(10, 0)], ("s.ts", "nesting", "close"): [(10, 0)],
+        ("s.ts", "params", "hide"): [(11, 0)], ("s.ts", "method_lines", "hide"): [(11, 0)], ("s.ts", "nesting", "hide"): [(11, 0)],
+        ("s.ts", "params", "total"): [(12, 0)], ("s.ts", "method_lines", "total"): [(12, 0)], ("s.ts", "nesting", "total"): [(12, 0)],
+        ("s.ts", "public", "Shop"): [(3, 3)],
+        ("s.ts", "params", "(anonymous)"): [(14, 1)], ("s.ts", "method_lines", "(anonymous)"): [(14, 1)], ("s.ts", "nesting", "(anonymous)"): [(15, 2)], ("s.ts", "loop_body", "(anonymous)"): [(15, 0)],
+        ("C.java", "public", "Port"): [(1, 2)], ("C.java", "params", "f"): [(7, 2)], ("C.java", "loop_body", "f"): [(8, 2)], ("C.java", "method_lines", "f"): [(7, 3)], ("C.java", "nesting", "f"): [(8, 1)],
+        ("C.java", "unbalanced_braces", "scan fidelity degraded for this file"): [(11, 1)],
+        ("t.go", "params", "Run"): [(2, 1)], ("t.go", "loop_body", "Run"): [(3, 2)], ("t.go", "method_lines", "Run"): [(2, 3)], ("t.go", "nesting", "Run"): [(3, 1)], ("t.go", "public", "(anonymous)"): [(7, 1)],
+        ("open.js", "params", "f"): [(1, 0)], ("open.js", "unbalanced_braces", "scan fidelity degraded for this file"): [(1, 1)],
+    }
+
+
+def test_brace_headers_restart_and_strings_end_with_their_line():
+    assert braces.parameters("f(a: () => void, b)") == 1 and braces.parameters("f( )") == 0 and braces.parameters("f(a, [b, c], {d, e})") == 3
+    assert braces.blanked('a = "\\"{" + \'x\' /* {\n{ */ b // {\nc\\{', "ts") == 'a = "" + \'\'  \n b \nc..'
+    long = "function f(" + "a" * braces.HEADER + ",\nb) {\n}\n"
+    assert braces.file_measures(long, "ts") == []
+    assert braces.file_measures("if a" + ";" * 100_000, "go") == []
+
+
+def test_brace_violations_follow_the_limits(spark):
+    rows = [("a.ts", 1, "params", 5, "f"), ("a.ts", 1, "params", 4, "g"), ("a.ts", 1, "params", 3, "h"), ("a.ts", 2, "unbalanced_braces", 2, ""), ("a.ts", 3, "else_branch", 1, "f (else)")]
+    found = braces.violations(spark.createDataFrame(rows, braces.MEASURE)).collect()
+    assert sorted((r.metric, r.value, r.severity, r.cap) for r in found) == [("else_branch", 1, "major", 0), ("params", 4, "minor", 3), ("params", 5, "major", 4), ("unbalanced_braces", 2, "minor", 0)]
