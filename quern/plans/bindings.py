@@ -1,7 +1,8 @@
 """How the driver's tables stand in for the operators' inputs, once as DataFrames and once as SQL.
 
-Every binding reads its whole tables.  The module graph's nodes are the suppliers; a module imports the (at most two)
-suppliers that most often come right after it within an order, and in the whole graph all that ever do.
+Every binding reads its whole tables.  The module graph's nodes are the suppliers; a module imports every supplier that
+comes right after it within an order, as often as it does.  That graph is dense, so there is a sparse one as well, whose
+edges follow from the suppliers' numbers: blocks of eight are rings, chains and stars by turns, and the blocks' heads a tree.
 """
 
 from __future__ import annotations
@@ -26,16 +27,36 @@ def chosen_sql(values: list[str], at: str) -> str:
     return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({at} AS INTEGER) + 1)"
 
 
-def module_edges(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    """src, dst, weight: the `each` heaviest of a source, or all."""
+def module_name(key: Column) -> Column:
+    return F.concat(F.lit("s"), key.cast("string"))
+
+
+def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight: all suppliers that come right after a supplier within an order."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    steps = table(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("src"), name(F.lead("l_suppkey").over(by)).alias("dst"))
-    n = steps.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    if each is None:
-        return n
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")))
-    return top.where(F.col("r") <= each).select("src", "dst", "weight")
+    steps = table(spark, sf_dir, "lineitem").select(module_name(F.col("l_suppkey")).alias("src"), module_name(F.lead("l_suppkey").over(by)).alias("dst"))
+    return steps.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+#: The sparse graph's edges of supplier k, by its block k div 8 and its place k % 8; those to no supplier fall away.
+SPARSE = [
+    ("k div 8 % 3 = 0", "k - k % 8 + (k + 1) % 8"),
+    ("k div 8 % 3 = 1 and k % 8 < 7", "k + 1"),
+    ("k div 8 % 3 = 1 and k % 8 > 0", "k - 1"),
+    ("k div 8 % 3 = 2 and k % 8 > 0", "k - k % 8"),
+    ("k div 8 % 3 = 2 and k % 8 > 0", "-k"),
+    ("k % 8 = 0 and k >= 8", "(k div 16) * 8"),
+]
+
+
+def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight of the sparse graph; an end of `-k` is the edge from the block's head to k."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).distinct()
+    ends = F.array_compact(F.array(*[F.when(F.expr(when), F.expr(to)) for when, to in SPARSE]))
+    rows = keys.select("k", F.explode(ends).alias("to"))
+    rows = rows.select(F.when(F.col("to") < 0, F.expr("k - k % 8")).otherwise(F.col("k")).alias("a"), F.abs("to").alias("z"))
+    rows = rows.join(keys.select(F.col("k").alias("a")), "a", "left_semi").join(keys.select(F.col("k").alias("z")), "z", "left_semi")
+    return rows.select(module_name(F.col("a")).alias("src"), module_name(F.col("z")).alias("dst"), (1 + (F.col("a") * 3 + F.col("z")) % 5).alias("weight"))
 
 
 def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +73,7 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAPH_SQL = f"""
 steps AS (SELECT 's' || l_suppkey AS src, 's' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
-ranked AS (SELECT src, dst, count(*) AS weight, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS r FROM steps WHERE src <> dst GROUP BY src, dst),
-edges AS MATERIALIZED (SELECT src, dst, weight FROM ranked WHERE r <= 2),
+edges AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM steps WHERE src <> dst GROUP BY src, dst),
 nodes AS MATERIALIZED (SELECT 's' || s_suppkey AS id,
   {chosen_sql(FOLDERS, f"(s_suppkey * 7 + s_nationkey) % {len(FOLDERS)}")} || '/' || {chosen_sql(STEMS, f"s_suppkey % {len(STEMS)}")} || CASE WHEN s_suppkey % {len(STEMS)} = 10 THEN '_' ELSE '' END || s_suppkey || '.py' AS path,
   {chosen_sql(["python", "typescript", "java", "go"], "s_suppkey % 4")} AS lang,
@@ -63,8 +83,13 @@ fans AS MATERIALIZED (SELECT id, path, lang, loc, types, abstract, unresolved,
   (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS fan_in, (SELECT count(*) FROM edges e WHERE e.src = n.id) AS fan_out FROM nodes n)
 """
 
-#: The same with all edges.
-WHOLE_GRAPH_SQL = GRAPH_SQL.replace(" WHERE r <= 2", "")
+#: The same on the sparse graph.
+SPARSE_GRAPH_SQL = f"""
+keys AS (SELECT DISTINCT s_suppkey AS k FROM supplier),
+steps AS ({" UNION ALL ".join(f"SELECT k, {to.replace(' div ', ' // ')} AS z FROM keys WHERE {when.replace(' div ', ' // ')}" for when, to in SPARSE)}),
+sparse_ends AS (SELECT CASE WHEN z < 0 THEN k - k % 8 ELSE k END AS a, abs(z) AS z FROM steps),
+edges AS MATERIALIZED (SELECT 's' || a AS src, 's' || z AS dst, 1 + (a * 3 + z) % 5 AS weight FROM sparse_ends WHERE a IN (SELECT k FROM keys) AND z IN (SELECT k FROM keys)),
+nodes{GRAPH_SQL.split("nodes", 1)[1]}"""
 
 
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

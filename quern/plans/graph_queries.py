@@ -27,9 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
-def both(spark: SparkSession, sf_dir: str, each: int | None) -> tuple[DataFrame, DataFrame]:
+Edges = Callable[[SparkSession, str], DataFrame]
+
+
+def both(spark: SparkSession, sf_dir: str, bound: Edges) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges; the edges are a table of their own, as a loop reads them often."""
-    return b.module_nodes(spark, sf_dir), g.step(b.module_edges(spark, sf_dir, each))
+    return b.module_nodes(spark, sf_dir), g.step(bound(spark, sf_dir))
 
 
 METRICS = """metrics AS (SELECT *, round_even(fan_out / nullif(fan_in + fan_out, 0)::DOUBLE, 3) AS instability, round_even(abstract / nullif(types, 0)::DOUBLE, 3) AS abstractness FROM fans)"""
@@ -58,36 +61,36 @@ through AS (SELECT a.node AS id, sum(a.sigma * z.sigma / t.sigma) AS score FROM
 
 
 @query(f"WITH {b.GRAPH_SQL}, {METRICS} SELECT id, fan_in, fan_out, instability FROM metrics ORDER BY fan_in DESC, id LIMIT 10")
-def g_top_fan_in(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.top_fan_in(*both(spark, sf_dir, each))
+def g_top_fan_in(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.top_fan_in(*both(spark, sf_dir, bound))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT src, dst, weight FROM edges")
-def g_edges(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return b.module_edges(spark, sf_dir, each)
+def g_edges(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return bound(spark, sf_dir)
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT id, fan_in, fan_out FROM fans")
-def g_fans(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.fans(*both(spark, sf_dir, each)).select("id", "fan_in", "fan_out")
+def g_fans(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.fans(*both(spark, sf_dir, bound)).select("id", "fan_in", "fan_out")
 
 
 @query(f"WITH {b.GRAPH_SQL}, {METRICS} SELECT id, fan_in, fan_out, instability, abstractness, {DISTANCE} AS distance FROM metrics")
-def g_node_metrics(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.node_metrics(*both(spark, sf_dir, each)).select("id", "fan_in", "fan_out", "instability", "abstractness", "distance")
+def g_node_metrics(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.node_metrics(*both(spark, sf_dir, bound)).select("id", "fan_in", "fan_out", "instability", "abstractness", "distance")
 
 
 MEDIANS = "med AS (SELECT (SELECT coalesce(quantile_cont(v, 0.5), 0) FROM (SELECT DISTINCT fan_in AS v FROM fans WHERE fan_in <> 0))::DOUBLE AS m_in, (SELECT coalesce(quantile_cont(v, 0.5), 0) FROM (SELECT DISTINCT fan_out AS v FROM fans WHERE fan_out <> 0))::DOUBLE AS m_out)"
 
 
 @query(f"WITH {b.GRAPH_SQL}, {MEDIANS} SELECT m_in AS median FROM med")
-def g_median_fan_in(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.distinct_median(g.fans(*both(spark, sf_dir, each)), "fan_in")
+def g_median_fan_in(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.distinct_median(g.fans(*both(spark, sf_dir, bound)), "fan_in")
 
 
 @query(f"WITH {b.GRAPH_SQL}, {MEDIANS} SELECT id, fan_in, fan_out FROM fans, med WHERE fan_in > m_in AND fan_out > m_out AND abs(fan_in - fan_out) <= (fan_in + fan_out) / 4.0::DOUBLE")
-def g_hub_like(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.hub_like(*both(spark, sf_dir, each))
+def g_hub_like(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.hub_like(*both(spark, sf_dir, bound))
 
 
 @query(f"""WITH RECURSIVE {b.GRAPH_SQL}, n AS (SELECT count(*) AS n FROM nodes), o AS (SELECT dst AS id, count(*) AS degree FROM edges GROUP BY 1),
@@ -96,73 +99,73 @@ r AS (SELECT id, 1.0::DOUBLE / n AS rank, 0 AS it FROM nodes, n UNION ALL
   FROM (SELECT id, it, n, (SELECT coalesce(sum(q.rank), 0) FROM r q WHERE q.id NOT IN (SELECT id FROM o)) AS lost FROM r, n WHERE it < 40) x
   LEFT JOIN (SELECT e.src AS id, r.rank, o.degree FROM edges e JOIN r ON r.id = e.dst JOIN o ON o.id = e.dst) s ON s.id = x.id GROUP BY x.id, n)
 SELECT id, round_even(rank * n, 3) AS pagerank FROM r, n WHERE it = 40""")
-def g_pagerank(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def g_pagerank(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """Of the reversed graph: who is depended on."""
-    nodes, edges = both(spark, sf_dir, each)
+    nodes, edges = both(spark, sf_dir, bound)
     return g.pagerank(nodes, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE} SELECT src, count(*) FILTER (src <> dst) AS reached FROM closure GROUP BY 1")
-def g_reachable(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.closure(both(spark, sf_dir, each)[1]).groupBy("src").agg(F.count_if(F.col("src") != F.col("dst")).alias("reached"))
+def g_reachable(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.closure(both(spark, sf_dir, bound)[1]).groupBy("src").agg(F.count_if(F.col("src") != F.col("dst")).alias("reached"))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE}, n AS (SELECT count(*) AS n FROM nodes) SELECT n AS nodes, CASE WHEN n <= 3000 THEN round_even((SELECT count(*) FROM closure WHERE src <> dst) / (n * n)::DOUBLE, 4) END AS cost, CASE WHEN n <= 3000 THEN '' ELSE 'transitive closure skipped: ' || n || ' nodes exceeds cap 3000' END AS note FROM n")
-def g_propagation_cost(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.propagation_cost(*both(spark, sf_dir, each))
+def g_propagation_cost(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.propagation_cost(*both(spark, sf_dir, bound))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {between('edges', 'nodes')}, n AS (SELECT count(*)::DOUBLE AS n FROM nodes) SELECT id, round_even(coalesce(score, 0) / ((n - 1) * (n - 2)), 4) AS betweenness FROM nodes LEFT JOIN through USING (id), n")
-def g_betweenness(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.betweenness(*both(spark, sf_dir, each))[0]
+def g_betweenness(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.betweenness(*both(spark, sf_dir, bound))[0]
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {between('edges', '(SELECT id FROM nodes WHERE (SELECT count(*) FROM nodes) <= 1200)')}, n AS (SELECT count(*) AS n FROM nodes) SELECT id, CASE WHEN n <= 1200 THEN round_even(coalesce(score, 0) / ((n - 1) * (n - 2))::DOUBLE, 4) END AS betweenness, CASE WHEN n <= 1200 THEN '' ELSE 'betweenness skipped: ' || n || ' nodes exceeds cap 1200' END AS note FROM nodes LEFT JOIN through USING (id), n")
-def g_betweenness_noted(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def g_betweenness_noted(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """With the reason where it is skipped."""
-    rows, note = g.betweenness(*both(spark, sf_dir, each))
+    rows, note = g.betweenness(*both(spark, sf_dir, bound))
     return rows.withColumn("note", F.lit(note))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT id, scc FROM scc")
-def g_components(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.components(*both(spark, sf_dir, each))
+def g_components(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.components(*both(spark, sf_dir, bound))
 
 
-def tangled(spark: SparkSession, sf_dir: str, each: int | None) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = both(spark, sf_dir, each)
+def tangled(spark: SparkSession, sf_dir: str, bound: Edges) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = both(spark, sf_dir, bound)
     return g.step(g.components(nodes, edges)), edges
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT scc, v AS size, (SELECT string_agg(id, ',' ORDER BY id) FROM scc x WHERE x.scc = sizes.scc) AS members FROM sizes")
-def g_tangles(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.tangles(tangled(spark, sf_dir, each)[0]).select("scc", "size", F.array_join("members", ",").alias("members"))
+def g_tangles(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.tangles(tangled(spark, sf_dir, bound)[0]).select("scc", "size", F.array_join("members", ",").alias("members"))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT scc, src, dst, weight FROM inside")
-def g_inner_edges(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.inner_edges(*tangled(spark, sf_dir, each))
+def g_inner_edges(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.inner_edges(*tangled(spark, sf_dir, bound))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT scc, arg_min(src, (weight, src, dst)) AS cut_src, arg_min(dst, (weight, src, dst)) AS cut_dst, min(weight) AS cut_weight FROM inside GROUP BY 1")
-def g_weakest_edge(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.weakest_edge(*tangled(spark, sf_dir, each))
+def g_weakest_edge(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.weakest_edge(*tangled(spark, sf_dir, bound))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {DEGREES} SELECT scc, id, degree, friends FROM degrees")
-def g_tangle_degrees(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.degrees(*tangled(spark, sf_dir, each))
+def g_tangle_degrees(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.degrees(*tangled(spark, sf_dir, bound))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {RATIOS} SELECT scc, vertices, edges, round_even(ratio, 9) AS ratio, round_even(dense, 9) AS dense, round_even(bckref, 9) AS bckref, round_even(star, 9) AS star, round_even(chain, 9) AS chain FROM ratios")
-def g_shape_ratios(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    rows = g.shape_ratios(*tangled(spark, sf_dir, each))
+def g_shape_ratios(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    rows = g.shape_ratios(*tangled(spark, sf_dir, bound))
     return rows.select("scc", "vertices", "edges", *[half_even(F.col(c), 9).alias(c) for c in ("ratio", "dense", "bckref", "star", "chain")])
 
 
 @query(f"WITH {b.GRAPH_SQL}, r AS (SELECT lang, fan_in::DOUBLE AS x, row_number() OVER (PARTITION BY lang ORDER BY fan_in) AS i FROM fans), s AS (SELECT lang, sum(x) AS t, sum(x * i) AS w, count(*) AS n FROM r GROUP BY 1) SELECT lang, CASE WHEN t <= 0 THEN 0 ELSE round_even((2 * w - (n + 1) * t) / (n * t), 4) END AS gini FROM s")
-def g_gini(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.gini(g.fans(*both(spark, sf_dir, each)), "lang", "fan_in")
+def g_gini(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.gini(g.fans(*both(spark, sf_dir, bound)), "lang", "fan_in")
 
 
 @query(f"""WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {RATIOS}, {between('inside', "(SELECT id FROM scc WHERE scc IN (SELECT scc FROM sizes WHERE v <= 400))")},
@@ -173,8 +176,8 @@ named AS (SELECT r.*, hub, CASE WHEN vertices = 2 THEN 'tiny' WHEN ratio >= 0.75
   WHEN bckref >= 0.75 AND star >= 0.75 THEN 'star' WHEN hub >= 0.5 THEN 'multi-hub' WHEN dense >= 0.45 THEN 'semi-clique' ELSE 'unknown' END AS shape FROM ratios r LEFT JOIN hubs USING (scc))
 SELECT scc, vertices, edges, shape, CASE WHEN vertices > 400 THEN 'cycle shape: betweenness skipped for a ' || vertices || '-node tangle (cap 400); multi-hub was not tested' ELSE '' END AS hub_note,
   {', '.join(f"CASE WHEN shape <> 'tiny' THEN round_even({c}, 4) END AS {c}" for c in ('ratio', 'dense', 'bckref', 'star', 'chain', 'hub'))} FROM named""")
-def g_shapes(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.shapes(*tangled(spark, sf_dir, each))
+def g_shapes(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.shapes(*tangled(spark, sf_dir, bound))
 
 
 # -- roles.  The SQL states the same marks once more.
@@ -201,13 +204,13 @@ judged AS (SELECT src, dst, weight, s AS src_role, d AS dst_role, sd AS src_dir,
 
 
 @query(f"WITH {b.GRAPH_SQL}, {ROLE_SQL} SELECT id, path, dir, layer, role FROM roles")
-def g_roles(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.roles(*both(spark, sf_dir, each))
+def g_roles(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.roles(*both(spark, sf_dir, bound))
 
 
 @query(f"WITH {b.GRAPH_SQL}, {ROLE_SQL} SELECT role, count(*) AS nodes FROM roles GROUP BY 1")
-def g_role_counts(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.role_counts(g.roles(*both(spark, sf_dir, each)))
+def g_role_counts(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.role_counts(g.roles(*both(spark, sf_dir, bound)))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''))), ' ') AS words, regexp_matches(' ' || lower(regexp_replace(regexp_extract(path, '[^/]*$'), '[^A-Za-z0-9]+', ' ', 'g')) || ' ', ' (absent|null|noop|none|missing) ') AS absent FROM nodes")
@@ -217,8 +220,8 @@ def g_name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {b.GRAPH_SQL}, {LEGAL_SQL} SELECT src, dst, weight, src_role, dst_role, src_dir, dst_dir, reason, reason = '' AS legal FROM judged")
-def g_legality(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def g_legality(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     return g.legality(edges, g.roles(nodes, edges))
 
 
@@ -230,14 +233,14 @@ PORT_SQL = r"""health AS MATERIALIZED (SELECT p.id AS port, count(*) FILTER (i.r
 
 
 @query(f"WITH {b.GRAPH_SQL}, {ROLE_SQL}, {PORT_SQL} SELECT port, resolvers, has_absent_resolver, contract_suite, array_to_string(imported_outside_root, ' ') AS imported_outside_root FROM health")
-def g_port_health(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def g_port_health(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     return g.port_health(g.roles(nodes, edges), edges).withColumn("imported_outside_root", F.array_join("imported_outside_root", " "))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT count(*) AS nodes, sum(loc)::BIGINT AS loc, sum(types)::BIGINT AS types, sum(unresolved)::BIGINT AS unresolved, (SELECT count(*) FROM edges) AS edges, (SELECT sum(weight)::BIGINT FROM edges) AS imports, round_even(2 * (SELECT count(*) FROM edges) / count(*)::DOUBLE, 2) AS avg_degree FROM nodes")
-def g_totals(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    return g.totals(*both(spark, sf_dir, each))
+def g_totals(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return g.totals(*both(spark, sf_dir, bound))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT lang, count(*) AS nodes, sum(loc)::BIGINT AS loc, sum(unresolved)::BIGINT AS unresolved, CASE WHEN lang = 'python' THEN 'native' ELSE 'lexical' END AS fidelity FROM nodes GROUP BY 1")
@@ -256,8 +259,8 @@ def g_vacuous_acyclicity(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM nodes WHERE loc > 250) AS files_over, (SELECT count(*) FROM nodes) AS files, (SELECT count(*) FROM health WHERE contract_suite IS NULL) AS ports_without_suite)
   SELECT *, CASE WHEN cycles = 0 AND blockers = 0 AND files_over < 0.05 * files AND ports_without_suite = 0 THEN 'SOUND'
     WHEN cycles <= 2 AND blockers <= 2 AND files_over < 0.2 * files THEN 'DRIFTING' ELSE 'ERODED' END AS verdict FROM n""")
-def g_verdict(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def g_verdict(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     role = g.roles(nodes, edges)
     counts = [
         g.tangles(g.components(nodes, edges)).agg(F.count("*").alias("cycles")),
@@ -273,8 +276,8 @@ def g_verdict(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFra
 
 
 @query(f"WITH {b.GRAPH_SQL}, {LEGAL_SQL}, f AS (SELECT src_dir, dst_dir, count(*) AS illegal FROM judged WHERE reason <> '' GROUP BY 1, 2) SELECT src_dir, dst_dir, illegal, round_even(illegal / (sum(illegal) OVER ())::DOUBLE, 4) AS share FROM f ORDER BY illegal DESC, src_dir, dst_dir LIMIT 5")
-def h_illegal_folders(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_illegal_folders(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     by = g.legality(edges, g.roles(nodes, edges)).where(~F.col("legal")).groupBy("src_dir", "dst_dir").agg(F.count("*").alias("illegal"))
     total = by.agg(F.sum("illegal").alias("total"))
     rows = by.crossJoin(F.broadcast(total)).select("src_dir", "dst_dir", "illegal", half_even(ratio(F.col("illegal"), F.col("total")), 4).alias("share"))
@@ -282,8 +285,8 @@ def h_illegal_folders(spark: SparkSession, sf_dir: str, each: int | None = 2) ->
 
 
 @query(f"WITH {b.GRAPH_SQL}, {METRICS} SELECT e.src AS id, count(*) FILTER (d.instability > s.instability) AS worse, count(*) AS total, round_even(count(*) FILTER (d.instability > s.instability) / count(*)::DOUBLE, 4) AS doud FROM edges e JOIN metrics s ON s.id = e.src JOIN metrics d ON d.id = e.dst GROUP BY 1")
-def h_unstable_dependency(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_unstable_dependency(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     m = g.node_metrics(nodes, edges)
     rows = edges.join(m.select(F.col("id").alias("src"), F.col("instability").alias("si")), "src").join(m.select(F.col("id").alias("dst"), F.col("instability").alias("di")), "dst")
     worse = F.count_if(F.col("di") > F.col("si"))
@@ -291,8 +294,8 @@ def h_unstable_dependency(spark: SparkSession, sf_dir: str, each: int | None = 2
 
 
 @query(f"WITH {b.GRAPH_SQL}, {METRICS} SELECT src, dst, round_even(d.instability - s.instability, 3) AS gap, round_even((d.instability - s.instability) * s.fan_in, 3) AS score FROM edges e JOIN metrics s ON s.id = e.src JOIN metrics d ON d.id = e.dst WHERE d.instability - s.instability > 0")
-def h_stability_gap(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_stability_gap(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     m = g.node_metrics(nodes, edges)
     rows = edges.join(m.select(F.col("id").alias("src"), F.col("instability").alias("si"), "fan_in"), "src").join(m.select(F.col("id").alias("dst"), F.col("instability").alias("di")), "dst")
     gap = F.col("di") - F.col("si")
@@ -300,79 +303,79 @@ def h_stability_gap(spark: SparkSession, sf_dir: str, each: int | None = 2) -> D
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE}, n AS (SELECT count(*) AS n FROM nodes), c AS (SELECT n + (SELECT count(*) FROM closure WHERE src <> dst) AS ccd, n FROM n) SELECT ccd, round_even(ccd / n::DOUBLE, 4) AS acd, round_even(ccd / (n * n)::DOUBLE, 4) AS racd, round_even(ccd / ((n + 1) * log2(n + 1) - n), 4) AS nccd FROM c")
-def h_cumulative_dependency(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_cumulative_dependency(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """CCD counts each node as its own dependency; NCCD holds it against a balanced binary tree of as many nodes."""
-    nodes, edges = both(spark, sf_dir, each)
+    nodes, edges = both(spark, sf_dir, bound)
     n = F.col("n")
     rows = nodes.agg(F.count("*").alias("n")).crossJoin(g.closure(edges).where("src <> dst").agg(F.count("*").alias("pairs"))).withColumn("ccd", n + F.col("pairs"))
     return rows.select("ccd", half_even(ratio(F.col("ccd"), n), 4).alias("acd"), half_even(ratio(F.col("ccd"), n * n), 4).alias("racd"), half_even(ratio(F.col("ccd"), (n + 1) * F.log2(n + 1) - n), 4).alias("nccd"))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE} SELECT id, (SELECT count(*) FROM closure WHERE dst = n.id AND src <> dst) AS vfi, (SELECT count(*) FROM closure WHERE src = n.id AND src <> dst) AS vfo FROM nodes n")
-def h_visibility(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_visibility(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     return g.fans(nodes, g.closure(edges).where("src <> dst")).select("id", F.col("fan_in").alias("vfi"), F.col("fan_out").alias("vfo"))
 
 
 @query(f"WITH {b.GRAPH_SQL}, s AS (SELECT avg(fan_in + fan_out) + 1.5::DOUBLE * stddev_pop(fan_in + fan_out) AS cut FROM fans) SELECT id, fan_in + fan_out AS degree FROM fans, s WHERE fan_in + fan_out > cut")
-def h_link_overload(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_link_overload(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """Degrees above the mean by more than 1.5 population standard deviations."""
-    rows = g.fans(*both(spark, sf_dir, each)).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
+    rows = g.fans(*both(spark, sf_dir, bound)).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
     cut = rows.agg((F.avg("degree") + 1.5 * F.stddev_pop("degree")).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).where("degree > cut").select("id", "degree")
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT id, loc * (fan_in * fan_out) * (fan_in * fan_out) AS flow FROM fans")
-def h_information_flow(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    rows = g.fans(*both(spark, sf_dir, each))
+def h_information_flow(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    rows = g.fans(*both(spark, sf_dir, bound))
     return rows.select("id", (F.col("loc") * F.col("fan_in") * F.col("fan_out") * F.col("fan_in") * F.col("fan_out")).alias("flow"))
 
 
 @query(f"WITH {b.GRAPH_SQL}, {METRICS}, d AS (SELECT id, abstractness AS a, instability AS i, {DISTANCE} AS distance FROM metrics) SELECT id, distance, CASE WHEN a + i < 0.5 THEN 'pain' WHEN a + i > 1.5 THEN 'useless' ELSE 'between' END AS zone FROM d WHERE distance > 0.5")
-def h_zones(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_zones(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     s = F.col("abstractness") + F.col("instability")
-    return g.node_metrics(*both(spark, sf_dir, each)).where("distance > 0.5").select("id", "distance", F.when(s < 0.5, "pain").when(s > 1.5, "useless").otherwise("between").alias("zone"))
+    return g.node_metrics(*both(spark, sf_dir, bound)).where("distance > 0.5").select("id", "distance", F.when(s < 0.5, "pain").when(s > 1.5, "useless").otherwise("between").alias("zone"))
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT id, path FROM fans WHERE fan_in = 0")
-def h_dead_code(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_dead_code(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """Candidates only: nothing in the scan imports them."""
-    nodes, edges = both(spark, sf_dir, each)
+    nodes, edges = both(spark, sf_dir, bound)
     return nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "path")
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC} SELECT coalesce(sum(v * v), 0)::BIGINT AS cyclicity, round_even(100 * sqrt(coalesce(sum(v * v), 0)) / (SELECT count(*) FROM nodes), 4) AS relative FROM sizes")
-def h_cyclicity(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_cyclicity(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     s = g.tangles(g.components(nodes, edges)).agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("cyclicity"))
     return s.crossJoin(nodes.agg(F.count("*").alias("n"))).select("cyclicity", half_even(100 * F.sqrt("cyclicity") / F.col("n"), 4).alias("relative"))
 
 
 @query(f"WITH {b.GRAPH_SQL}, p AS (SELECT DISTINCT regexp_replace(a.path, '/[^/]*$', '') AS x, regexp_replace(z.path, '/[^/]*$', '') AS y FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes z ON z.id = e.dst) SELECT x AS one, y AS other FROM p WHERE x < y AND EXISTS (SELECT 1 FROM p q WHERE q.x = p.y AND q.y = p.x)")
-def h_package_cycles(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
-    nodes, edges = both(spark, sf_dir, each)
+def h_package_cycles(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
     d = nodes.select("id", g.folder(F.col("path")).alias("dir"))
     p = edges.join(d.select(F.col("id").alias("src"), F.col("dir").alias("one")), "src").join(d.select(F.col("id").alias("dst"), F.col("dir").alias("other")), "dst").select("one", "other").distinct()
     return p.where("one < other").join(p.select(F.col("other").alias("one"), F.col("one").alias("other")), ["one", "other"], "left_semi")
 
 
 @query(f"WITH {b.GRAPH_SQL}, r AS (SELECT id, fan_in, ntile(10) OVER (ORDER BY fan_in DESC, id) AS decile FROM fans) SELECT id, fan_in FROM r WHERE decile = 1")
-def h_top_decile(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_top_decile(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     """Of this graph's nodes alone."""
-    rows = g.fans(*both(spark, sf_dir, each)).select("id", "fan_in", F.ntile(10).over(Window.orderBy(F.desc("fan_in"), "id")).alias("decile"))
+    rows = g.fans(*both(spark, sf_dir, bound)).select("id", "fan_in", F.ntile(10).over(Window.orderBy(F.desc("fan_in"), "id")).alias("decile"))
     return rows.where("decile = 1").select("id", "fan_in")
 
 
 @query(f"WITH {b.GRAPH_SQL} SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, round_even(2 * (SELECT count(*) FROM edges) / count(*)::DOUBLE, 4) AS density, 2 * (SELECT count(*) FROM edges) / count(*)::DOUBLE > 5 AS dense FROM nodes")
-def h_dense_structure(spark: SparkSession, sf_dir: str, each: int | None = 2) -> DataFrame:
+def h_dense_structure(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     d = ratio(2 * F.col("edges"), F.col("nodes"))
-    return g.totals(*both(spark, sf_dir, each)).select("nodes", "edges", half_even(d, 4).alias("density"), (d > 5).alias("dense"))
+    return g.totals(*both(spark, sf_dir, bound)).select("nodes", "edges", half_even(d, 4).alias("density"), (d > 5).alias("dense"))
 
 
-# -- the same queries on the graph of all edges
+# -- the same queries on the sparse graph
 
 
 for _name, _f in list(QUERIES.items()):
-    if "each" in signature(_f).parameters:
-        QUERIES[f"{_name}_whole"] = partial(_f, each=None)
-        ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(b.GRAPH_SQL, b.WHOLE_GRAPH_SQL)
+    if "bound" in signature(_f).parameters:
+        QUERIES[f"{_name}_sparse"] = partial(_f, bound=b.sparse_edges)
+        ORACLE_SQL[f"{_name}_sparse"] = ORACLE_SQL[_name].replace(b.GRAPH_SQL, b.SPARSE_GRAPH_SQL)

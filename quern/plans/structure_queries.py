@@ -271,33 +271,11 @@ def h_unlinked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unlinked_pairs(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir))
 
 
-@query(f"WITH {MODULE_PAIRS}, {MET}, f AS (SELECT dst AS path, count(*) AS dependents, count(shared) AS overlap FROM one GROUP BY 1) SELECT * FROM f WHERE dependents > 2 AND overlap > 2")
+@query(f"WITH {MODULE_PAIRS}, {MET}, f AS (SELECT dst AS path, count(*) AS dependents, count(shared) AS overlap FROM one GROUP BY 1) SELECT * FROM f WHERE dependents > 10 AND overlap > 10")
 def h_unstable_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An impact of 2 instead of 10, as each module imports two others only."""
-    return s.unstable_interfaces(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir), 2)
+    return s.unstable_interfaces(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir))
 
 
-@query(f"WITH {MODULE_PAIRS}, {MET}, i AS (SELECT dst AS path, count(*) AS fan_in, count(shared) AS mi FROM one GROUP BY 1), o AS (SELECT src AS path, count(*) AS fan_out, count(shared) AS mo FROM one GROUP BY 1) SELECT path, fan_in, fan_out FROM i JOIN o USING (path) WHERE fan_in >= 2 AND fan_out >= 2 AND mi > 0 AND mo > 0")
+@query(f"WITH {MODULE_PAIRS}, {MET}, i AS (SELECT dst AS path, count(*) AS fan_in, count(shared) AS mi FROM one GROUP BY 1), o AS (SELECT src AS path, count(*) AS fan_out, count(shared) AS mo FROM one GROUP BY 1) SELECT path, fan_in, fan_out FROM i JOIN o USING (path) WHERE fan_in >= 4 AND fan_out >= 4 AND mi > 0 AND mo > 0")
 def h_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees of 2 instead of 4, for the same reason."""
-    return s.crossings(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir), 2)
-
-
-# -- on the graph of all edges, with the operators' own limits
-
-WHOLE_PAIRS = MODULE_PAIRS.replace(b.GRAPH_SQL, b.WHOLE_GRAPH_SQL)
-
-
-@query(f"WITH {WHOLE_PAIRS} SELECT a, b, shared FROM pairs WHERE shared >= 3 AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a AND greatest(src, dst) = b)")
-def h_unlinked_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.unlinked_pairs(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir, None))
-
-
-@query(f"WITH {WHOLE_PAIRS}, {MET}, f AS (SELECT dst AS path, count(*) AS dependents, count(shared) AS overlap FROM one GROUP BY 1) SELECT * FROM f WHERE dependents > 10 AND overlap > 10")
-def h_unstable_interface_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.unstable_interfaces(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir, None))
-
-
-@query(f"WITH {WHOLE_PAIRS}, {MET}, i AS (SELECT dst AS path, count(*) AS fan_in, count(shared) AS mi FROM one GROUP BY 1), o AS (SELECT src AS path, count(*) AS fan_out, count(shared) AS mo FROM one GROUP BY 1) SELECT path, fan_in, fan_out FROM i JOIN o USING (path) WHERE fan_in >= 4 AND fan_out >= 4 AND mi > 0 AND mo > 0")
-def h_crossing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.crossings(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir, None))
+    return s.crossings(s.co_change(supplier_changes(spark, sf_dir)), b.module_edges(spark, sf_dir))

@@ -359,11 +359,11 @@ def test_whole_module_graph_keeps_every_pair(spark, tmp_path):
     spark.createDataFrame([(o, n, 1, m) for o in range(30) for n, m in ((1, 1), (2, 2 + o % 6), (3, 1))], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, 1) for k in range(1, 8)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     pairs = {(f"s{a}", f"s{b}", 5) for k in range(2, 8) for a, b in ((1, k), (k, 1))}
-    assert {tuple(x) for x in QUERIES["g_edges_whole"](spark, str(tmp_path)).collect()} == pairs
-    fans = {x.id: (x.fan_in, x.fan_out) for x in QUERIES["g_fans_whole"](spark, str(tmp_path)).collect()}
+    assert {tuple(x) for x in QUERIES["g_edges"](spark, str(tmp_path)).collect()} == pairs
+    fans = {x.id: (x.fan_in, x.fan_out) for x in QUERIES["g_fans"](spark, str(tmp_path)).collect()}
     assert fans == {"s1": (6, 6)} | {f"s{k}": (1, 1) for k in range(2, 8)}
-    assert [tuple(x) for x in QUERIES["h_crossing_whole"](spark, str(tmp_path)).collect()] == [("s1", 6, 6)]
-    assert QUERIES["h_unlinked_pairs_whole"](spark, str(tmp_path)).count() == 0
+    assert [tuple(x) for x in QUERIES["h_crossing"](spark, str(tmp_path)).collect()] == [("s1", 6, 6)]
+    assert QUERIES["h_unlinked_pairs"](spark, str(tmp_path)).count() == 0
 
 
 def test_skipped_betweenness_says_why_as_its_twin_does(spark, tmp_path):
