@@ -303,3 +303,78 @@ def e_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     claims = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), (F.col("value") > 30).alias("supported"), (kind != "error").alias("cited"), (kind == "view").alias("worthy"))
     return shown(ev.grounding(claims))
+
+
+@query("SELECT o_custkey AS case_id, count(*) FILTER (o_orderstatus = 'F') AS satisfied, count(*) FILTER (o_orderstatus <> 'P') AS applicable, round_even(count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus <> 'P'), 0)::DOUBLE, 9) AS rate FROM orders GROUP BY 1")
+def e_goal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are to be filled; pending ones don't apply yet."""
+    status = F.col("o_orderstatus")
+    return shown(ev.goal_match(b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.when(status != "P", status == "F").alias("satisfied"))))
+
+
+@query("SELECT l_suppkey AS case_id, count(*) FILTER (l_returnflag = 'R' AND l_discount <= 0.05) AS unexpected, count(*) AS opportunities, round_even(count(*) FILTER (l_returnflag = 'R' AND l_discount <= 0.05) / count(*)::DOUBLE, 9) AS rate FROM lineitem GROUP BY 1")
+def e_side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns are mutations, expected of goods with a discount."""
+    return shown(ev.side_effect_rate(b.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id"), (F.col("l_returnflag") == "R").alias("mutated"), (F.col("l_discount") > 0.05).alias("expected"))))
+
+
+@query("WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS needed, count(*) FILTER (event_type = 'error') AS made FROM events GROUP BY 1) SELECT user_id % 10 AS slice, count(*) FILTER (needed = 0) AS without_need, count(*) FILTER (needed = 0 AND made = 0) AS abstained, round_even(count(*) FILTER (needed = 0 AND made = 0) / nullif(count(*) FILTER (needed = 0), 0)::DOUBLE, 9) AS accuracy FROM c GROUP BY 1")
+def e_no_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    cases = b.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "purchase").alias("needed"), F.count_if(kind == "error").alias("made"))
+    return shown(ev.no_call_accuracy(cases.withColumn("slice", F.col("user_id") % 10)))
+
+
+@query("WITH m AS (SELECT user_id AS case_id, event_type, bool_or(value > 50) AS reached FROM events GROUP BY 1, 2) SELECT case_id, count(*) FILTER (reached) AS reached, count(*) AS milestones, round_even(count(*) FILTER (reached) / count(*)::DOUBLE, 9) AS completion FROM m GROUP BY 1")
+def e_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ev.milestones(b.table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("milestone"), (F.col("value") > 50).alias("reached"))))
+
+
+@query(f"WITH {b.RANKING_SQL} SELECT query_id, count(*) FILTER (rank <= 10 AND relevance > 0) AS hits, round_even(count(*) FILTER (rank <= 10 AND relevance > 0) / nullif(count(*) FILTER (rank <= 10), 0)::DOUBLE, 9) AS precision, round_even(count(*) FILTER (rank <= 10 AND relevance > 0) / nullif(count(*) FILTER (relevance > 0), 0)::DOUBLE, 9) AS recall FROM ranking GROUP BY 1")
+def e_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of a ranking are retrieved."""
+    return shown(ev.context_match(b.ranking(spark, sf_dir).select("query_id", (F.col("rank") <= 10).alias("retrieved"), (F.col("relevance") > 0).alias("relevant"))))
+
+
+@query("WITH c AS (SELECT event_type AS slice, value >= 10 AS followed, user_id % 3 = 0 AS attack, value >= 20 AS preserved, value < 5 AS achieved, 'P' || event_id % 4 AS severity FROM events) SELECT slice, round_even(count(*) FILTER (followed) / nullif(count(followed), 0)::DOUBLE, 9) AS compliance, count(*) FILTER (attack) AS attacks, round_even(count(*) FILTER (attack AND preserved) / nullif(count(*) FILTER (attack), 0)::DOUBLE, 9) AS resilience, round_even(count(*) FILTER (attack AND achieved) / nullif(count(*) FILTER (attack), 0)::DOUBLE, 9) AS attack_success, count(*) FILTER (NOT followed AND severity IN ('P0', 'P1')) AS critical FROM c GROUP BY 1")
+def e_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    cases = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("slice"), (v >= 10).alias("followed"), (F.col("user_id") % 3 == 0).alias("attack"), (v >= 20).alias("preserved"), (v < 5).alias("achieved"), F.concat(F.lit("P"), (F.col("event_id") % 4).cast("string")).alias("severity"))
+    return shown(ev.safety(cases))
+
+
+@query(f"WITH m AS ({ORACLE_SQL['e_bootstrap'].replace('range(20)', 'range(200)').replace('round_even(avg(score), 9)', 'avg(score)')}) SELECT count(*) AS replicas, round_even(quantile_cont(mean, 0.025), 9) AS low, round_even(quantile_cont(mean, 0.975), 9) AS high FROM m")
+def e_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = b.table(spark, sf_dir, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").alias("score"))
+    return shown(ev.bootstrap_interval(ev.bootstrap_means(cases, 200)))
+
+
+@query("""WITH d AS (SELECT doc_id, quality - toxic AS d FROM labels), t AS (SELECT count(*) AS cases, sum(d) AS total FROM d),
+s AS (SELECT replica, sum(CASE WHEN substr(md5('1:' || replica || ':' || doc_id), 1, 1) < '8' THEN d ELSE -d END) AS flipped FROM d, (SELECT unnest(range(100)) AS replica) GROUP BY 1)
+SELECT cases, round_even(total / cases::DOUBLE, 9) AS difference, round_even((1 + (SELECT count(*) FROM s WHERE abs(flipped) >= abs(total))) / 101.0::DOUBLE, 9) AS p FROM t""")
+def e_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ev.paired_permutation(b.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").alias("a"), F.col("toxic").alias("b")), 100))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), i AS (SELECT user_id, sum(n) AS m, sum(n * n) AS q FROM c GROUP BY 1 HAVING sum(n) > 1), l AS (SELECT event_type, sum(n) AS n FROM c WHERE user_id IN (SELECT user_id FROM i) GROUP BY 1), o AS (SELECT count(*) AS items, sum(m)::BIGINT AS ratings, sum((m * m - q)::DOUBLE / (m - 1)) AS apart FROM i) SELECT items, ratings, round_even(1 - (ratings - 1) * apart / nullif(ratings * ratings - (SELECT sum(n * n) FROM l), 0)::DOUBLE, 9) AS alpha FROM o")
+def e_krippendorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users are rated by the types of their events."""
+    return shown(ev.krippendorff_alpha(b.table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("label"))))
+
+
+@query("""SELECT event_id, 'at' AS path, 'time' AS kind, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS value FROM events
+UNION ALL SELECT event_id, 'type', 'alias', CASE event_type WHEN 'view' THEN 'see' WHEN 'click' THEN 'press' ELSE event_type END FROM events
+UNION ALL SELECT event_id, 'tags', 'set', '["' || least(event_type, 'm') || CASE WHEN event_type <> 'm' THEN '","' || greatest(event_type, 'm') ELSE '' END || '"]' FROM events
+UNION ALL SELECT event_id, 'user', 'id', CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) THEN 'known' ELSE 'unknown' END FROM events
+UNION ALL SELECT event_id, 'note', 'text', props FROM events""")
+def e_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's time two hours ahead of UTC, its type by the aliases, its tags with a repeat, and its user."""
+    e = b.table(spark, sf_dir, "events")
+    part = lambda path, kind, value: F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    kind, utc = F.col("event_type"), F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    at = F.concat(F.date_format(utc + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    tags = F.to_json(F.array(kind, F.lit("m"), kind))
+    fields = e.select("event_id", F.inline(F.array(part("at", "time", at), part("type", "alias", kind), part("tags", "set", tags), part("user", "id", F.col("user_id")), part("note", "text", F.col("props")))))
+    aliases = spark.createDataFrame([("type", "view", "see"), ("type", "click", "press")], "path string, alias string, meant string")
+    known = b.table(spark, sf_dir, "customer").select(F.lit("user").alias("path"), F.col("c_custkey").cast("string").alias("value"))
+    return ev.canonical_fields(fields, aliases, known).select("event_id", "path", "kind", "value")
