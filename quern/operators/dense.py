@@ -67,3 +67,15 @@ def brandes(edges: pa.Table) -> pa.Table:
         part = np.divide(1 + share, ways, out=np.zeros((n, n)), where=dist == d)
         share += np.where(dist == d - 1, ways * (part @ step.T), 0)
     return pa.table({"id": pa.array(names, pa.string()), "score": share.sum(axis=0)})
+
+
+def pagerank(edges: pa.Table, n: int, damping: float, sweeps: int) -> pa.Table:
+    """id, rank after the sweeps over distinct edges of a graph of n nodes; the row without an id is that of each node without edges."""
+    names, src, dst = numbered(edges)
+    m = len(names)
+    degree = np.bincount(src, minlength=m)
+    rank, lone = np.full(m, 1 / n), 1 / n
+    for _ in range(sweeps):
+        lone = (1 - damping) / n + damping * (rank[degree == 0].sum() + (n - m) * lone) / n
+        rank = lone + damping * np.bincount(dst, rank[src] / degree[src], m)
+    return pa.table({"id": pa.array([*names, None], pa.string()), "rank": np.append(rank, lone)})

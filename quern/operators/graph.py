@@ -84,13 +84,25 @@ def hub_like(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # -- ranks and reachability
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweeps: int = SWEEPS) -> DataFrame:
-    """id, pagerank: `sweeps` sweeps over the edges as given, a sink's mass dealt to all nodes; the mean is 1."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweeps: int = SWEEPS, most: int = CLOSURE_NODES) -> DataFrame:
+    """id, pagerank: `sweeps` sweeps over the edges as given, a sink's mass dealt to all nodes; the mean is 1.
+
+    Graphs of up to `most` nodes are swept in one task, larger ones by joins.
+    """
     ids = nodes.select("id")
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(None).cast("double"))
     pairs = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    if n <= most:
+
+        def swept(pairs: pa.Table) -> pa.Table:
+            return dense.pagerank(pairs, n, damping, sweeps)
+
+        got = step(in_one_task(pairs, swept, "id string, rank double"))
+        lone = got.where("id is null").agg(F.coalesce(F.max("rank"), F.lit(1.0 / n)).alias("lone"))
+        rows = ids.join(got.where("id is not null"), "id", "left").crossJoin(F.broadcast(lone))
+        return rows.select("id", half_even(F.coalesce("rank", "lone") * n, 3).alias("pagerank"))
     out = pairs.groupBy("src").agg(F.count("*").alias("degree"))
     pairs = step(pairs.join(out, "src").select("src", "dst", "degree"))
     sinks = ids.join(pairs.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("sink", F.lit(True))

@@ -13,6 +13,10 @@ LIMITS = [("file_lines", 200, 250), ("method_lines", 15, 25), ("nesting", None,
 NOT_COUNTED = [".tf", ".tfvars", ".h", ".hpp"]
 #: How a comment begins that exempts the next line of code, and what parts its metrics from the reason.
 MARK, REASON = "# quern:exempt", "--"
+#: How many lines at its top may exempt a whole file, and, fixed values, what is never scanned and what is code to be judged by length.
+HEAD_LINES = 20
+DROPPED = ["min.js", "lock", "map", "snap", "png", "jpg", "jpeg", "gif", "svg", "pdf", "zip", "gz", "ico", "woff", "woff2", "ttf"]
+CODE = ["py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "kt", "kts", "go", "rb", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "scala", "php", "ex", "exs", "erl", "clj", "dart", "sh", "bash", "zsh", "awk", "pl", "lua", "m", "mm", "groovy", "gradle", "tf", "vue", "svelte"]
 
 
 def line_count(text: Column) -> Column:
@@ -69,6 +73,26 @@ def pragmas(lines: DataFrame, mark: str = MARK) -> DataFrame:
     return rows.select("path", "line", F.explode(metrics).alias("metric"), F.col("last_said.reason").alias("reason"))
 
 
+def is_code(path: Column) -> Column:
+    """Whether a file is held to the limit of lines: code by its ending, and not one of the built or binary kinds."""
+    ending = lambda kinds: F.regexp_like(path, F.lit("[.](" + "|".join(k.replace(".", "[.]") for k in kinds) + ")$"))
+    return F.coalesce(ending(CODE) & ~ending(DROPPED), F.lit(False))
+
+
+def file_lengths(files: DataFrame, mark: str = MARK) -> DataFrame:
+    """files(path, text) -> path, metric, severity, value, cap of the code files above a limit of lines.
+
+    A file has no declaration to hang a pragma on, so one of its first lines may exempt it: the mark, the metric among
+    others, and a reason.  Such a file stays as `exempt`, against the hard limit.
+    """
+    warn, hard = limits("file_lines")
+    told = F.exists(F.slice(F.split("text", "\n"), 1, HEAD_LINES), lambda x: F.regexp_like(x, F.lit(rf"\Q{mark}\E[^-]*[\s,]file_lines([\s,][^-]*)?{REASON}\s*\S")))
+    rows = files.where(is_code(F.col("path"))).select("path", line_count(F.col("text")).alias("value"), told.alias("told"))
+    found = violations(rows, "file_lines")
+    exempt = F.coalesce("told", F.lit(False))
+    return found.select("path", "metric", F.when(exempt, "exempt").otherwise(F.col("severity")).alias("severity"), "value", F.when(exempt, hard).otherwise(F.col("cap")).alias("cap"))
+
+
 def folder_files(files: DataFrame) -> DataFrame:
     """folder, value: the distinct files right in each folder, without declarations and headers."""
     counted = ~F.regexp_like("path", F.lit(r"(" + "|".join(e.replace(".", "[.]") for e in NOT_COUNTED) + r")$"))

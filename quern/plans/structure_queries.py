@@ -67,6 +67,17 @@ def c_exemptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir)
 
 
+@query("""WITH f AS (SELECT doc_id, doc_id * 37 % 400 + (doc_id % 6 < 2)::INT AS value FROM documents WHERE doc_id % 4 IN (0, 3))
+SELECT 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' ELSE '.go' END AS path, 'file_lines' AS metric, CASE WHEN doc_id % 6 = 0 THEN 'exempt' WHEN value > 250 THEN 'major' ELSE 'minor' END AS severity, value, CASE WHEN doc_id % 6 = 0 OR value > 250 THEN 250 ELSE 200 END AS cap FROM f WHERE value > 200""")
+def c_file_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's number says its ending and lines; some tops exempt, and some do without a reason."""
+    k = F.col("doc_id")
+    top = F.when(k % 6 == 0, f"{s.MARK} params, file_lines {s.REASON} a table\n").when(k % 6 == 1, f"{s.MARK} file_lines {s.REASON}\n").otherwise("")
+    path = F.concat(F.lit("d"), k.cast("string"), b.chosen([".py", ".md", ".min.js", ".go"], k % 4))
+    files = b.table(spark, sf_dir, "documents").select(path.alias("path"), F.concat(top, F.repeat(F.lit("x\n"), (k * 37 % 400).cast("int"))).alias("text"))
+    return s.file_lengths(files).withColumn("value", F.col("value").cast("long"))
+
+
 @query(f"WITH {b.FILES_SQL} SELECT folder, count(DISTINCT path) AS value FROM files GROUP BY 1")
 def c_folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.folder_files(b.files(spark, sf_dir))
@@ -169,18 +180,22 @@ def p_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select("p_partkey", s.slug(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
 
 
-@query("SELECT s_suppkey, replace(replace('name __NAME__ of __NAME_PLACE__', '__NAME_PLACE__', 'n' || s_nationkey), '__NAME__', 'x') AS text, '__NAME_PLACE__,__NAME__' AS tokens FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'name x of n' || s_nationkey WHEN 1 THEN 'z and z' WHEN 2 THEN '__lower__ __B1_' ELSE '__OTHER__ x' END AS text,
+CASE s_suppkey % 4 WHEN 0 THEN '__NAME_PLACE__,__NAME__' WHEN 1 THEN '__A__' WHEN 2 THEN '' ELSE '__NAME__,__OTHER__' END AS tokens FROM supplier""")
 def p_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.lit("name __NAME__ of __NAME_PLACE__")
-    rows = b.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.array_join(F.array_sort(s.tokens(text)), ",").alias("tokens"))
-    return rows.select("s_suppkey", s.substituted(F.replace(text, F.lit("__NAME_PLACE__"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))), {"__NAME__": "x"}).alias("text"), "tokens")
+    """Texts with a token inside a longer one, a repeated one, none, and one without a value."""
+    text = b.chosen(["name __NAME__ of n__NAME_PLACE__", "__A__ and __A__", "__lower__ __B1_", "__OTHER__ __NAME__"], F.col("s_suppkey") % 4)
+    rows = b.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", text.alias("said"))
+    text = s.substituted(F.col("said"), {"__NAME__": "x", "__NAME_PLACE__": "@", "__A__": "z"})
+    return rows.select("s_suppkey", F.replace(text, F.lit("@"), F.col("s_nationkey").cast("string")).alias("text"), F.array_join(F.array_sort(s.tokens(F.col("said"))), ",").alias("tokens"))
 
 
-@query("SELECT o_orderkey, array_to_string(list_filter(list_distinct([split_part(o_orderpriority, '-', 1), o_orderstatus, split_part(o_orderpriority, '-', 1)]), lambda x: x IS NOT NULL), ',') IS NOT NULL AS ok, 2 - (split_part(o_orderpriority, '-', 1) = o_orderstatus)::INTEGER AS n FROM orders")
+@query("WITH v AS (SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS p, o_orderstatus AS s FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'none' WHEN p = s THEN p ELSE p || '|' || s END AS names FROM v")
 def p_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeated name with blanks around it and empty ones between; every fifth list is of blanks alone."""
     first = F.split_part("o_orderpriority", F.lit("-"), F.lit(1))
-    names = s.ordered_distinct(F.concat_ws(",", first, "o_orderstatus", first), ["none"])
-    return b.table(spark, sf_dir, "orders").select("o_orderkey", names.isNotNull().alias("ok"), F.size(names).alias("n"))
+    text = F.when(F.col("o_orderkey") % 5 == 0, " , ").otherwise(F.concat(F.lit(" "), first, F.lit(",, "), "o_orderstatus", F.lit(" ,"), first))
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(s.ordered_distinct(text, ["none"]), "|").alias("names"))
 
 
 @query("SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'no k' ELSE '' END AS reason FROM events")
