@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.operators import evaluation as ev
 from quern.operators import graph as g
+from quern.operators import smells as sm
+from quern.operators import statements as stm
 from quern.operators import structure as st
 from quern.sources import braces, pycode, scan
 
@@ -432,3 +434,93 @@ def test_brace_violations_follow_the_limits(spark):
     rows = [("a.ts", 1, "params", 5, "f"), ("a.ts", 1, "params", 4, "g"), ("a.ts", 1, "params", 3, "h"), ("a.ts", 2, "unbalanced_braces", 2, ""), ("a.ts", 3, "else_branch", 1, "f (else)")]
     found = braces.violations(spark.createDataFrame(rows, braces.MEASURE)).collect()
     assert sorted((r.metric, r.value, r.severity, r.cap) for r in found) == [("else_branch", 1, "major", 0), ("params", 4, "minor", 3), ("params", 5, "major", 4), ("unbalanced_braces", 2, "minor", 0)]
+
+
+# -- measures stated as formulas alone, against their formulas on small inputs
+
+
+def test_rates_without_a_base_are_null(spark):
+    goals = spark.createDataFrame([("a", True), ("a", False), ("a", None), ("b", None)], "case_id string, satisfied boolean")
+    assert {(r.case_id, r.satisfied, r.applicable, r.rate) for r in ev.goal_match(goals).collect()} == {("a", 1, 2, 0.5), ("b", 0, 0, None)}
+    chances = spark.createDataFrame([("a", True, False), ("a", True, True), ("a", False, False)], "case_id string, mutated boolean, expected boolean")
+    assert one(ev.side_effect_rate(chances)).rate == pytest.approx(1 / 3)
+    quiet = spark.createDataFrame([("s", 0, 0), ("s", 0, 2), ("s", 1, 0), ("t", 1, 1)], "slice string, needed int, made int")
+    assert {(r.slice, r.accuracy) for r in ev.no_call_accuracy(quiet).collect()} == {("s", 0.5), ("t", None)}
+    marks = spark.createDataFrame([("a", "m", False), ("a", "m", True), ("a", "n", None)], "case_id string, milestone string, reached boolean")
+    assert one(ev.milestones(marks)).completion == 0.5
+    safe = spark.createDataFrame([("s", False, True, False, False, "P0"), ("s", True, True, True, False, "P1"), ("s", False, False, False, False, "P2")], "slice string, followed boolean, attack boolean, preserved boolean, achieved boolean, severity string")
+    r = one(ev.safety(safe))
+    assert (r.attacks, r.resilience, r.attack_success, r.critical) == (2, 0.5, 0.0, 1) and r.compliance == pytest.approx(1 / 3)
+
+
+def test_permutation_and_alpha_against_plain_python(spark):
+    import hashlib
+
+    pairs = [("c1", 3.0, 1.0), ("c2", 2.0, 2.0), ("c3", 5.0, 1.0), ("c4", 1.0, 2.0), ("c5", None, 2.0)]
+    d = [(c, a - b) for c, a, b in pairs if a is not None]
+    flips = [sum(x if hashlib.md5(f"1:{i}:{c}".encode()).hexdigest()[0] < "8" else -x for c, x in d) for i in range(50)]
+    r = one(ev.paired_permutation(spark.createDataFrame(pairs, "case_id string, a double, b double"), 50))
+    assert (r.cases, r.difference) == (4, 1.25) and r.p == pytest.approx((1 + sum(abs(x) >= 5 for x in flips)) / 51)
+    none = one(ev.paired_permutation(spark.createDataFrame([], "case_id string, a double, b double"), 5))
+    assert (none.cases, none.difference, none.p) == (0, None, None)
+    # Items of pairs: by hand, the observed disagreement is 1/4 and the expected one 4/7.
+    seen = [("a", "x"), ("a", "x"), ("b", "x"), ("b", "x"), ("c", "y"), ("c", "y"), ("d", "x"), ("d", "y"), ("e", "x"), (None, "x"), ("e", None)]
+    r = one(ev.krippendorff_alpha(spark.createDataFrame(seen, "item string, label string")))
+    assert (r.items, r.ratings) == (4, 8) and r.alpha == pytest.approx(1 - (2 / 8) / (2 * 5 * 3 / (8 * 7)))
+    assert one(ev.krippendorff_alpha(spark.createDataFrame([("a", "x"), ("a", "x")], "item string, label string"))).alpha is None
+
+
+def test_fields_are_read_by_their_kind(spark):
+    fields = [("at", "time", "2024-01-01T02:00:00+02:00"), ("at", "time", "soon"), ("city", "alias", "NYC"), ("city", "alias", "LA"), ("tags", "set", '["b","a","b"]'), ("stops", "list", '["b","a"]'), ("id", "id", "7"), ("id", "id", "8"), ("x", "set", None)]
+    got = ev.canonical_fields(spark.createDataFrame(fields, "path string, kind string, value string"), spark.createDataFrame([("city", "NYC", "New York")], "path string, alias string, meant string"), spark.createDataFrame([("id", "7"), ("id", "7")], "path string, value string"))
+    assert sorted(r.value or "" for r in got.collect()) == sorted(["2024-01-01T00:00:00Z", "soon", "New York", "LA", '["a","b"]', '["b","a"]', "known", "unknown", ""])
+
+
+def test_packages_and_history(spark):
+    nodes = spark.createDataFrame([("a", "p", 10, 31), ("b", "q", 50, 1), ("c", "r", 20, 1), ("d", "r", 5, 0)], "id string, package string, loc bigint, types bigint")
+    assert {(r.package, r.rule, r.severity) for r in sm.god_components(nodes).collect()} == {("p", "fixed", -15), ("q", "median", 25)}
+    changes = spark.createDataFrame([(i, p) for i, ps in enumerate(["ab", "ab", "bc", "bc", "c", "c", "c"]) for p in ps], "sha int, path string")
+    got = {(r.a, r.b): r.p for r in sm.conditional_co_change(changes).collect()}
+    assert got == {("a", "b"): 1.0, ("b", "a"): 0.5, ("b", "c"): 0.5, ("c", "b"): 0.4, ("a", "c"): 0.5}
+    sets = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "b"), (2, "a"), (2, None), (3, "z")], "set_id int, member string")
+    assert [(r.members, r.occurrences) for r in sm.recurring_sets(sets).collect()] == [(["a", "b"], 2)]
+    files = lambda per, of: spark.createDataFrame([(f"f{i}", f"m{i // per}", 0) for i in range(of)], "id string, module string, layer int")
+    none = spark.createDataFrame([], "src string, dst string")
+    for per, level in ((4, 1.0), (25, 0.5), (100, 0.35)):
+        assert sm.decoupling_level(files(per, 100), none).agg(F.sum("dl")).head()[0] == pytest.approx(level, abs=0.005)
+    smells = spark.createDataFrame([("a", "k", 1, 2), ("b", "k", 5, 2), ("c", "k", 5, 4), ("d", "j", 9, 2)], "id string, kind string, measure int, dependencies int")
+    debt = {r.id: (r.severity, r.debt) for r in sm.debt_index(smells, spark.createDataFrame([("b", 2.0), ("a", 1.0), ("d", 1.0)], "id string, pagerank double"), spark.createDataFrame([("k", 5.0), ("j", 1.0)], "kind string, weight double")).collect()}
+    assert debt == {"a": (0.0, 0.0), "b": (0.5, 0.5), "c": (0.5, None), "d": (0.0, 0.0)}
+
+
+def test_sweeps_in_one_task_equal_those_by_joins(spark):
+    nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a"), ("e", "e")], extra=["lone"])
+    assert sorted(map(tuple, g.pagerank(nodes, edges).collect())) == sorted(map(tuple, g.pagerank(nodes, edges, most=0).collect()))
+    bare, none = graph(spark, [], extra=["x", "y"])
+    assert {r.pagerank for r in g.pagerank(bare, none).collect()} == {1.0}
+
+
+def test_statements_gate_what_makes_roles(spark):
+    files = spark.createDataFrame([(1, "a", 'resource "aws_iam_role" "r" {}\nresource  "aws_lb" "l" {}\nbackend "s3" {'), (1, "a", 'resource "aws_iam_role" "r" {}'), (2, "b", None)], "doc int, path string, text string")
+    table = spark.createDataFrame([("resource", "aws_iam_role", [], True)], "kind string, type string, actions array<string>, creates boolean")
+    made = stm.granted(stm.declarations(files), table)
+    r = one(made)
+    assert (r.doc, r.actions, r.unknown, r.creates) == (1, ["elasticloadbalancing:*"], ["aws_lb"], True)
+    assert {x.doc: x.backend for x in stm.state_backends(files).collect()} == {1: True, 2: False}
+    docs = made.join(stm.state_backends(files), "doc").withColumn("regions", stm.strings([])).withColumn("boundary", F.lit("arn"))
+    got = {x.sid: x for x in stm.statements(docs, ["iam:CreateRole"], ["iam:GetRole"]).collect()}
+    assert list(got) == ["TerraformManagedResources", "ReadDescribeLeeway", "IAMCreateOnlyWithBoundary", "TerraformStateBackend"]
+    assert "iam:CreateRole" not in got["TerraformManagedResources"].actions and got["IAMCreateOnlyWithBoundary"].allowed == ["arn"]
+    bare = {x.sid: x for x in stm.statements(docs.withColumn("boundary", F.lit(None).cast("string")), ["iam:CreateRole"], ["iam:GetRole"]).collect()}
+    assert "iam:CreateRole" in bare["TerraformManagedResources"].actions and "IAMCreateOnlyWithBoundary" not in bare
+    votes = spark.createDataFrame([(1, "x", 3, "BETA", "prod.sh"), (1, "y", 2, "-", "prod.sh"), (1, "z", 1, "-", None)], "doc int, name string, weight int, line string, file string")
+    assert {(v.name, v.weight) for v in stm.stage_votes(votes, "prod").collect()} == {("y", 12), ("z", 1)}
+    found = spark.createDataFrame([("r", None, "", "p"), ("r", "b", "B", "b"), ("r", "a", "A", "a"), ("s", "a", None, " ")], "repo string, path string, url string, region string")
+    assert {tuple(x) for x in stm.first_settings(found, ["url", "region"]).collect()} == {("r", "A", "p"), ("s", None, None)}
+
+
+def test_a_top_exempts_with_a_reason_alone(spark):
+    lines = "x\n" * 260
+    rows = [("a.py", lines), ("b.py", f"{st.MARK} file_lines -- a table\n" + lines), ("c.py", f"{st.MARK} file_lines --\n" + lines), ("d.py", "x\n" * 25 + f"{st.MARK} file_lines -- late\n" + lines), ("e.md", lines), ("f.min.js", lines), ("g.go", "x\n" * 201), ("h.go", None)]
+    got = {r.path: (r.severity, r.cap) for r in st.file_lengths(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.py": ("major", 250), "b.py": ("exempt", 250), "c.py": ("major", 250), "d.py": ("major", 250), "g.go": ("minor", 200)}
