@@ -524,3 +524,19 @@ def test_a_top_exempts_with_a_reason_alone(spark):
     rows = [("a.py", lines), ("b.py", f"{st.MARK} file_lines -- a table\n" + lines), ("c.py", f"{st.MARK} file_lines --\n" + lines), ("d.py", "x\n" * 25 + f"{st.MARK} file_lines -- late\n" + lines), ("e.md", lines), ("f.min.js", lines), ("g.go", "x\n" * 201), ("h.go", None)]
     got = {r.path: (r.severity, r.cap) for r in st.file_lengths(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"a.py": ("major", 250), "b.py": ("exempt", 250), "c.py": ("major", 250), "d.py": ("major", 250), "g.go": ("minor", 200)}
+
+
+def test_records_are_read_back_and_go_folders_named(spark, tmp_path):
+    files = spark.createDataFrame([("a/b/x.go", 'package b\nimport "os"\n'), ("main.go", "package main\n"), ("a/y.py", "import os\n")], "path string, text string")
+    made = scan.records(files)
+    made.write.json(f"{tmp_path}/records")
+    (tmp_path / "lines.json").write_text('{"path": "p.py", "lang": "python", "loc": 3}\n\n')
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(scan.read_records(spark, f"{tmp_path}/records", made)) == key(made)
+    r = one(scan.read_records(spark, f"{tmp_path}/lines.json", made))
+    assert (r.path, r.loc, r.id) == ("p.py", 3, None)
+    (tmp_path / "ids").write_text("/r/a/b\texample.com/old\n/r/a/b\texample.com/m/b\n/r\texample.com/m\n/r/c\t\nno tab\n")
+    ids = scan.read_go_ids(spark, f"{tmp_path}/ids", "/r")
+    assert {tuple(x) for x in ids.collect()} == {("a/b", "example.com/m/b"), (".", "example.com/m")}
+    named = {r.path: r.id for r in scan.with_go_ids(made, ids).collect()}
+    assert (named["a/b/x.go"], named["main.go"]) == ("example.com/m/b", "example.com/m") and not (named["a/y.py"] or "").startswith("example")
