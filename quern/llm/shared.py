@@ -85,6 +85,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """df sorted over its partitions by these columns (nulls first), with quern_part and quern_within, the partition and the place in it.
+
+    To be written before it is used twice, as the bounds of the parts may differ from run to run; the order doesn't.  Rows that
+    agree in all of `order` are told apart by where they were read, so many equal ones spread over several parts.
+    """
+    rows = df.withColumn("quern_read", F.monotonically_increasing_id())
+    keys = [F.col(c).asc_nulls_first() for c in [*order, "quern_read"]]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("quern_read")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumns({"quern_part": F.spark_partition_id(), "quern_within": within})
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
