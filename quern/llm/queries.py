@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, language, media, near, shards, tokenfile, toxicity, urls, warc
+from quern.llm import bpe, chat, decontaminate, language, media, near, runs, shards, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_png_columns": media.query,
     "op10_warc_derivatives": warc.query,
+    "op11_periodic_runs": runs.query,
     "op12_feistel_shards": shards.query,
 }
 

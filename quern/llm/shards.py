@@ -24,7 +24,7 @@ import math
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import in_order, scratch, table, written_at
@@ -119,9 +119,8 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     held = rows.drop("row")
     placed = written_at(in_order(held, order), scratch(spark, "ordered"))
     counts = placed.groupBy("quern_part").agg(F.count("*").alias("n"))
-    parts = counts.agg(F.array_sort(F.collect_list(F.struct("quern_part", "n"))).alias("parts"))
-    base = F.aggregate(F.filter("parts", lambda p: p["quern_part"] < F.col("part")), F.lit(0).cast("bigint"), lambda s, p: s + p["n"])
-    bases = parts.select("parts", F.explode(F.transform("parts", lambda p: p["quern_part"])).alias("part")).select(F.col("part").alias("quern_part"), base.alias("quern_base"))
+    before = F.sum("n").over(Window.orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("quern_part", F.coalesce(before, F.lit(0)).alias("quern_base"))
     out = placed.join(F.broadcast(bases), "quern_part").withColumn("row", F.col("quern_base") + F.col("quern_within"))
     return out.select(*held.columns, "row"), placed.count()
 
