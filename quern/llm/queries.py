@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, language, media, near, runs, shards, tokenfile, toxicity, urls, warc
+from quern.llm import bpe, chat, decontaminate, language, media, near, runs, shards, tokenfile, toxicity, turns, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_derivatives": warc.query,
     "op11_periodic_runs": runs.query,
     "op12_feistel_shards": shards.query,
+    "op13_structure_repair": turns.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": urls.ORACLE_SQL, "op12_feistel_shards": shards.ORACLE_SQL}
