@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.ratios import ratio
 from quern.operators.graph import components, step
+from quern.operators.structure import commit_pairs
 
 #: The fallback limits of a package's lines and classes.
 MOST_LINES, MOST_CLASSES = 27000, 30
@@ -39,7 +42,8 @@ def conditional_co_change(changes: DataFrame, least: float = 0.3) -> DataFrame:
     rows = changes.select("sha", "path").distinct()
     size = rows.groupBy("path").agg(F.count("*").alias("of"))
     # A link a -> b of p >= least needs this many shared commits; files that b's own number rules out still count for others.
-    pairs = rows.select("sha", F.col("path").alias("a")).join(rows.select("sha", F.col("path").alias("b")), "sha").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = commit_pairs(rows).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     links = step(pairs.join(size.withColumnRenamed("path", "a"), "a").select("a", "b", ratio(F.col("shared"), F.col("of")).alias("p")).where(F.col("p") >= least))
     best = new = links
     ahead = links.select(F.col("a").alias("b"), F.col("b").alias("far"), F.col("p").alias("q"))
@@ -52,6 +56,25 @@ def conditional_co_change(changes: DataFrame, least: float = 0.3) -> DataFrame:
     return best
 
 
+def violation_groups(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, shared) of co-changing files that nothing links -> core, member, shared, round: each pair once, in its group.
+
+    The groups are those of the greedy cover that takes the file with most uncovered pairs again and again (of equal ones the first
+    by name) with all its partners.  A file that comes before all its partners in that order keeps its pairs until it is
+    taken, as no partner gains any; so each round takes all such files at once, and the groups are the same.
+    """
+    both = step(pairs.select(F.col("a").alias("core"), F.col("b").alias("member"), "shared").unionByName(pairs.select(F.col("b").alias("core"), F.col("a").alias("member"), "shared")))
+    found: list[DataFrame] = []
+    while both.limit(1).count():
+        size = both.groupBy("core").agg(F.count("*").alias("n"))
+        place = F.struct((-F.col("n")).alias("n"), F.col("core").alias("name"))
+        rival = both.join(size.select(F.col("core").alias("member"), F.struct((-F.col("n")).alias("n"), F.col("core").alias("name")).alias("place")), "member").groupBy("core").agg(F.min("place").alias("rival"))
+        cores = step(size.join(rival, "core").where(place < F.col("rival")).select("core"))
+        found.append(step(both.join(cores, "core").select("core", "member", "shared", F.lit(len(found) + 1).alias("round"))))
+        both = step(both.join(cores, "core", "left_anti").join(cores.withColumnRenamed("core", "member"), "member", "left_anti").select("core", "member", "shared"))
+    return reduce(DataFrame.unionByName, found) if found else both.withColumn("round", F.lit(1))
+
+
 def recurring_sets(sets: DataFrame, least: int = 2) -> DataFrame:
     """sets(set_id, member) of discrepancies -> members, size, occurrences: how often each distinct set stands in a set, itself included.
 

@@ -15,6 +15,8 @@ NOT_COUNTED = [".tf", ".tfvars", ".h", ".hpp"]
 MARK, REASON = "# quern:exempt", "--"
 #: How many lines at its top may exempt a whole file, and, fixed values, what is never scanned and what is code to be judged by length.
 HEAD_LINES = 20
+#: Files of a commit that one join key pairs.
+COMMIT_BLOCK = 512
 DROPPED = ["min.js", "lock", "map", "snap", "png", "jpg", "jpeg", "gif", "svg", "pdf", "zip", "gz", "ico", "woff", "woff2", "ttf"]
 CODE = ["py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "kt", "kts", "go", "rb", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "scala", "php", "ex", "exs", "erl", "clj", "dart", "sh", "bash", "zsh", "awk", "pl", "lua", "m", "mm", "groovy", "gradle", "tf", "vue", "svelte"]
 
@@ -230,11 +232,32 @@ def lenient_json(text: Column, need: str) -> Column:
 # -- history
 
 
-def co_change(changes: DataFrame, least: int = 1) -> DataFrame:
-    """a, b, shared: the pairs of files in one commit, and in how many; pairs of a commit come from its own files alone."""
+def commit_pairs(rows: DataFrame, block: int = COMMIT_BLOCK) -> DataFrame:
+    """sha, a, b with a < b: the pairs of the distinct (sha, path) in one commit.
+
+    A commit's files are dealt by hash into blocks of about `block` files, and a pair of blocks is a join key of its own, so a commit of
+    very many files is no single task's.  Most commits are one block.
+    """
+    size = rows.groupBy("sha").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(size, "sha").withColumn("k", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    keyed = dealt.select("sha", "path", "k", F.explode(others).alias("key"))
+    a = keyed.select("sha", "key", F.col("path").alias("a"), F.col("k").alias("ka"))
+    b = keyed.select("sha", "key", F.col("path").alias("b"), F.col("k").alias("kb"))
+    # within a pair of two blocks only what is in different ones; a block's own pairs have a key of their own
+    return a.join(b, ["sha", "key"]).where("a < b and (key.i = key.j or ka <> kb)").select("sha", "a", "b")
+
+
+def co_change(changes: DataFrame, least: int = 1, least_revisions: int = 1) -> DataFrame:
+    """a, b, shared: the pairs of files in one commit, and in how many; pairs of a commit come from its own files alone.
+
+    A file of fewer than `least` commits is in no such pair, so it goes before the pairs are made, like one of too few revisions.
+    """
     rows = changes.select("sha", "path").distinct()
-    pairs = rows.select("sha", F.col("path").alias("a")).join(rows.select("sha", F.col("path").alias("b")), "sha").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    few = max(least, least_revisions)
+    if few > 1:
+        rows = rows.join(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= few).select("path"), "path", "left_semi")
+    return commit_pairs(rows).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def revisions(changes: DataFrame) -> DataFrame:
@@ -250,7 +273,7 @@ def churn(changes: DataFrame, since: Column) -> DataFrame:
 def temporal_coupling(changes: DataFrame, least_revisions: int, least_shared: int = 1) -> DataFrame:
     """a, b, shared, degree: 100 times the shared commits over the mean of the two files' revisions."""
     r = revisions(changes).where(F.col("revisions") >= least_revisions)
-    rows = co_change(changes, least_shared).join(r.select(F.col("path").alias("a"), F.col("revisions").alias("ra")), "a").join(r.select(F.col("path").alias("b"), F.col("revisions").alias("rb")), "b")
+    rows = co_change(changes, least_shared, least_revisions).join(r.select(F.col("path").alias("a"), F.col("revisions").alias("ra")), "a").join(r.select(F.col("path").alias("b"), F.col("revisions").alias("rb")), "b")
     return rows.select("a", "b", "shared", F.bround(200.0 * F.col("shared") / (F.col("ra") + F.col("rb")), 4).alias("degree"))
 
 
@@ -274,11 +297,28 @@ def implicit_dependencies(pairs: DataFrame, package: DataFrame, least: int = 3,
 
 
 def unlinked_pairs(pairs: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
-    """a, b, shared of co-changing pairs that no edge (src, dst) joins either way."""
+    """a, b, shared of co-changing files (pairs) that no edge (src, dst) joins either way."""
     ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.where(F.col("shared") >= least).join(ends, ["a", "b"], "left_anti")
 
 
+def independent_modules(pairs: DataFrame, edges: DataFrame, homes: DataFrame, above: int = 4) -> DataFrame:
+    """m, n, pairs, most: modules of one layer without an edge between any of their files, some of which co-change more than `above` times.
+
+    homes(path, module, layer).  The rule on module pairs, not on file pairs: one edge between any two files of the modules ends it,
+    whether these files co-change or not.  Files without a home count for none; a module of NULL layer shares it with none.
+    """
+    home = lambda end: homes.select(F.col("path").alias(end), F.col("module").alias(f"m_{end}"), F.col("layer").alias(f"l_{end}"))
+
+    def by_module(rows: DataFrame, a: str, b: str) -> DataFrame:
+        at = rows.join(home(a), a).join(home(b), b).where(F.col(f"m_{a}") != F.col(f"m_{b}"))
+        return at.withColumns({"m": F.least(f"m_{a}", f"m_{b}"), "n": F.greatest(f"m_{a}", f"m_{b}")})
+
+    linked = by_module(edges.select("src", "dst").distinct(), "src", "dst").select("m", "n").distinct()
+    often = by_module(pairs.where(F.col("shared") > above), "a", "b").where("l_a = l_b").groupBy("m", "n").agg(F.count("*").alias("pairs"), F.max("shared").alias("most"))
+    return often.join(linked, ["m", "n"], "left_anti")
+
+
 def unstable_interfaces(pairs: DataFrame, edges: DataFrame, impact: int = 10, least: int = 3) -> DataFrame:
     """path, dependents, overlap: more than `impact` dependents, more than `impact` of which co-change with it."""
     often = pairs.where(F.col("shared") >= least)
