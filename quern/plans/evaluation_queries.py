@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.ratios import ratio
 from quern.operators import evaluation as ev
+from quern.operators import skyline
 from quern.plans import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,6 +226,21 @@ def e_p95_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ev.p95_of_successes(runs))
 
 
+OFFERS = """offers AS (SELECT l_partkey AS id, sum(l_quantity) AS quality, round_even(avg(l_extendedprice), 2) AS cost, CASE WHEN l_partkey % 50 <> 0 THEN sum(date_diff('day', o_orderdate, l_shipdate)) / count(*)::DOUBLE END AS latency
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
+
+
+@query(f"""WITH {OFFERS}, p AS (SELECT DISTINCT quality, cost, latency FROM offers WHERE quality IS NOT NULL AND cost IS NOT NULL AND latency IS NOT NULL),
+front AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.quality >= p.quality AND q.cost <= p.cost AND q.latency <= p.latency AND (q.quality > p.quality OR q.cost < p.cost OR q.latency < p.latency)))
+SELECT id, quality, cost, latency FROM offers JOIN front USING (quality, cost, latency)""")
+def e_pareto_front_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by quantity, mean price and mean days to shipping; every fiftieth has no latency and so can't be compared."""
+    lines = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    days = F.sum(F.datediff("l_shipdate", "o_orderdate")) / F.count("*")
+    by = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), F.bround(F.avg("l_extendedprice"), 2).alias("cost"), days.alias("latency"))
+    return skyline.pareto_front(by.withColumn("latency", F.when(F.col("id") % 50 != 0, F.col("latency"))))
+
+
 @query("WITH p AS (SELECT s_suppkey AS id, sum(l_quantity) AS quality, round_even(avg(l_extendedprice), 2) AS cost FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) SELECT cost, quality, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.quality >= p.quality AND q.cost <= p.cost AND (q.quality > p.quality OR q.cost < p.cost))")
 def e_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), F.bround(F.avg("l_extendedprice"), 2).alias("cost"))
