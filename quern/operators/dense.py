@@ -1,6 +1,6 @@
-"""Kernels for graphs whose nodes the fixed limits bound: one task holds the graph as a matrix, a bit or a number a pair.
+"""The kernel of shortest paths for graphs whose nodes the fixed limits bound: a task holds the graph as a matrix.
 
-Each takes an Arrow table of edges (src, dst); 3000 nodes make a bit matrix of 1.1 MB.
+It takes an Arrow table of edges (src, dst); 1200 nodes make a matrix of 12 MB.
 """
 
 from __future__ import annotations
@@ -18,39 +18,13 @@ def numbered(edges: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(names.to_pylist(), object), *(pc.index_in(x, value_set=names).to_numpy().astype(np.int64) for x in (src, dst))
 
 
-def reach(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """[n, n] booleans: whether a path of one edge or more leads from row to column."""
-    near = np.zeros((n, n), bool)
-    near[src, dst] = True
-    bits = np.packbits(near, axis=1)
-    for k in range(n):
-        through = (bits[:, k >> 3] >> np.uint8(7 - (k & 7))) & 1 == 1
-        bits[through] |= bits[k]
-    return np.unpackbits(bits, axis=1, count=n).astype(bool)
-
-
-def closure(edges: pa.Table) -> pa.Table:
-    names, src, dst = numbered(edges)
-    a, b = np.nonzero(reach(len(names), src, dst))
-    held = pa.array(names, pa.string())
-    return pa.table({"src": held.take(pa.array(a)), "dst": held.take(pa.array(b))})
-
-
-def strong(edges: pa.Table) -> pa.Table:
-    """id, scc: the least name among those that a node reaches and that reach it."""
-    names, src, dst = numbered(edges)
-    far = reach(len(names), src, dst)
-    both = far & far.T | np.eye(len(names), dtype=bool)
-    return pa.table({"id": pa.array(names, pa.string()), "scc": pa.array(names[both.argmax(axis=1)], pa.string())})
-
-
-def brandes(edges: pa.Table) -> pa.Table:
-    """id, score: the shortest paths between others that lead through a node, all sources at once, level by level."""
+def brandes(edges: pa.Table, turn: int = 0, turns: int = 1) -> pa.Table:
+    """id, score: the shortest paths between others that lead through a node, from every turns-th source, level by level."""
     names, src, dst = numbered(edges)
     n = len(names)
     step = np.zeros((n, n))
     step[src[src != dst], dst[src != dst]] = 1
-    ways = level = np.eye(n)
+    ways = level = np.eye(n)[turn::turns]
     dist = np.where(level > 0, 0, -1)
     depth = 0
     while True:
@@ -62,20 +36,8 @@ def brandes(edges: pa.Table) -> pa.Table:
         dist[new] = depth
         level = np.where(new, ahead, 0)
         ways = ways + level
-    share = np.zeros((n, n))
+    share = np.zeros(ways.shape)
     for d in range(depth, 1, -1):
-        part = np.divide(1 + share, ways, out=np.zeros((n, n)), where=dist == d)
+        part = np.divide(1 + share, ways, out=np.zeros(ways.shape), where=dist == d)
         share += np.where(dist == d - 1, ways * (part @ step.T), 0)
     return pa.table({"id": pa.array(names, pa.string()), "score": share.sum(axis=0)})
-
-
-def pagerank(edges: pa.Table, n: int, damping: float, sweeps: int) -> pa.Table:
-    """id, rank after the sweeps over distinct edges of a graph of n nodes; the row without an id is that of each node without edges."""
-    names, src, dst = numbered(edges)
-    m = len(names)
-    degree = np.bincount(src, minlength=m)
-    rank, lone = np.full(m, 1 / n), 1 / n
-    for _ in range(sweeps):
-        lone = (1 - damping) / n + damping * (rank[degree == 0].sum() + (n - m) * lone) / n
-        rank = lone + damping * np.bincount(dst, rank[src] / degree[src], m)
-    return pa.table({"id": pa.array([*names, None], pa.string()), "rank": np.append(rank, lone)})

@@ -7,9 +7,7 @@ in the shared folder (see `step`), so lineage stays short and a lost executor co
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+
 from functools import reduce
 
 import pyarrow as pa
@@ -17,25 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.ratios import half_even, ratio
-from quern.operators import dense
+from quern.operators import dense, reach
+from quern.operators.shared import step
 
 #: The largest graphs that get a closure, a betweenness, and a betweenness inside one tangle.
 CLOSURE_NODES, BETWEENNESS_NODES, TANGLE_NODES = 3000, 1200, 400
 DAMPING, SWEEPS = 0.85, 40
-
-
-def step(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (on a single machine a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Sources of shortest paths that one task follows.
+SOURCES = 64
+#: Equal nodes that hold the part of the ranks that all nodes have.
+HUBS = 16
 
 
 # -- degrees and simple ratios
@@ -84,61 +73,36 @@ def hub_like(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # -- ranks and reachability
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweeps: int = SWEEPS, most: int = CLOSURE_NODES) -> DataFrame:
-    """id, pagerank: `sweeps` sweeps over the edges as given, a sink's mass dealt to all nodes; the mean is 1.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweeps: int = SWEEPS) -> DataFrame:
+    """id, pagerank: `sweeps` sweeps over the distinct edges as given, a sink's mass dealt to all nodes; the mean is 1.
 
-    Graphs of up to `most` nodes are swept in one task, larger ones by joins.
+    A rank is a node's own part, which comes along its edges, and a part s that is the same for all: the teleport and what sinks
+    give.  Both parts of the next sweep are sums over those of the last one, so a sweep is one join by integer keys and one sum:
+    s is a node of its own (HUBS equal ones, so that no key holds all nodes) with a way to each node, of the weight of the node's
+    edges in, and from each sink and from s itself.
     """
-    ids = nodes.select("id")
-    n = ids.count()
+    named = reach.numbers(nodes)
+    n = named.count()
     if not n:
-        return ids.withColumn("pagerank", F.lit(None).cast("double"))
-    pairs = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    if n <= most:
-
-        def swept(pairs: pa.Table) -> pa.Table:
-            return dense.pagerank(pairs, n, damping, sweeps)
-
-        got = step(in_one_task(pairs, swept, "id string, rank double"))
-        lone = got.where("id is null").agg(F.coalesce(F.max("rank"), F.lit(1.0 / n)).alias("lone"))
-        rows = ids.join(got.where("id is not null"), "id", "left").crossJoin(F.broadcast(lone))
-        return rows.select("id", half_even(F.coalesce("rank", "lone") * n, 3).alias("pagerank"))
-    out = pairs.groupBy("src").agg(F.count("*").alias("degree"))
-    pairs = step(pairs.join(out, "src").select("src", "dst", "degree"))
-    sinks = ids.join(pairs.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("sink", F.lit(True))
-    rank = step(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank")))
+        return nodes.select("id").withColumn("pagerank", F.lit(None).cast("double"))
+    pairs = reach.numbered_edges(named, edges)
+    ways = pairs.join(pairs.groupBy("a").agg((damping / F.count("*")).alias("share")), "a").select("a", "z", "share")
+    hub = -1 - F.col("n") % HUBS
+    given = ways.groupBy("z").agg(F.sum("share").alias("share")).select((-1 - F.col("z") % HUBS).alias("a"), "z", "share")
+    sinks = step(named.select("n").join(pairs.select(F.col("a").alias("n")), "n", "left_anti"))
+    hubs = nodes.sparkSession.range(HUBS).select((-1 - F.col("id")).alias("hub"))
+    into = sinks.crossJoin(F.broadcast(hubs)).select(F.col("n").alias("a"), F.col("hub").alias("z"), F.lit(damping / n).alias("share"))
+    stays = hubs.select(F.col("hub").alias("a"), F.col("hub").alias("z"), F.lit(damping * sinks.count() / n).alias("share"))
+    ways = step(ways.unionByName(given).unionByName(into).unionByName(stays))
+    rank = hubs.select(F.col("hub").alias("a"), F.lit(1.0 / n).alias("rank"))
     for i in range(sweeps):
-        lost = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = pairs.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(damping * F.col("rank") / F.col("degree")).alias("got"))
-        rank = rank.join(got, "id", "left").crossJoin(F.broadcast(lost))
-        rank = rank.select("id", "sink", ((1 - damping) / n + F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / n).alias("rank"))
-        if i % 4 == 3 or i == sweeps - 1:
+        got = ways.join(rank, "a").groupBy(F.col("z").alias("a")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
+        rank = got.select("a", (F.col("rank") + F.when(F.col("a") < 0, (1 - damping) / n).otherwise(0.0)).alias("rank"))
+        if (i + 1) % 8 == 0 or i == sweeps - 1:
             rank = step(rank)
-    return rank.select("id", half_even(F.col("rank") * n, 3).alias("pagerank"))
-
-
-def in_one_task(pairs: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """A kernel of `dense` on all pairs (src, dst); only for graphs of a checked number of nodes."""
-    return pairs.select("src", "dst").groupBy().applyInArrow(kernel, schema)
-
-
-def closure(edges: DataFrame, most: int = CLOSURE_NODES) -> DataFrame:
-    """Distinct (src, dst) joined by a path of one edge or more.
-
-    Graphs of up to `most` nodes are a bit matrix in one task.  Beyond, only the pairs that are new go on by an edge
-    each round, so every pair meets each edge once.
-    """
-    pairs = step(edges.select("src", "dst").distinct())
-    if pairs.select("src").union(pairs.select("dst")).distinct().limit(most + 1).count() <= most:
-        return step(in_one_task(pairs, dense.closure, "src string, dst string"))
-    parts, new = [pairs], pairs
-    ahead = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-    while True:
-        longer = new.join(ahead, "dst").select("src", F.col("far").alias("dst")).distinct()
-        new = step(longer.join(reduce(DataFrame.unionByName, parts), ["src", "dst"], "left_anti"))
-        if not new.limit(1).count():
-            return reduce(DataFrame.unionByName, parts)
-        parts.append(new)
+    all_ = rank.select(F.col("a").alias("hub"), F.col("rank").alias("all"))
+    ranked = named.withColumn("hub", hub).join(all_, "hub").join(rank.withColumnRenamed("a", "n"), "n", "left")
+    return nodes.select("id").join(ranked.select("id", half_even((F.col("all") + F.coalesce("rank", F.lit(0.0))) * n, 3).alias("pagerank")), "id")
 
 
 def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = False, cap: int = CLOSURE_NODES) -> DataFrame:
@@ -147,69 +111,35 @@ def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = Fa
     if not n or n > cap:
         note = "no nodes" if not n else f"transitive closure skipped: {n} nodes exceeds cap {cap}"
         return spark.createDataFrame([(n, None, note)], "nodes bigint, cost double, note string")
-    inside = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    reached = closure(inside).where("src <> dst").agg(F.count("*").alias("pairs"))
-    return reached.select(F.lit(n).cast("bigint").alias("nodes"), half_even((F.col("pairs") + (n if include_self else 0)) / float(n * n), 4).alias("cost"), F.lit("").alias("note"))
+    seen = reach.visibility(nodes, edges).agg(F.sum("vfo").alias("pairs"))
+    return seen.select(F.lit(n).cast("bigint").alias("nodes"), half_even((F.col("pairs") - (0 if include_self else n)) / float(n * n), 4).alias("cost"), F.lit("").alias("note"))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = BETWEENNESS_NODES) -> tuple[DataFrame, str]:
-    """(id, betweenness) and a note; directed and unweighted, over (n - 1)(n - 2), which is left out for up to two nodes."""
+    """(id, betweenness) and a note; directed and unweighted, over (n - 1)(n - 2), which is left out for up to two nodes.
+
+    The paths from SOURCES nodes at a time are a task's, which holds the edges; the cap bounds those.
+    """
     ids = nodes.select("id")
     n = ids.count()
     if n > cap:
         return ids.withColumn("betweenness", F.lit(None).cast("double")), f"betweenness skipped: {n} nodes exceeds cap {cap}"
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    inside = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     scale = float((n - 1) * (n - 2))
     score = half_even(F.col("score") / scale, 4) if scale > 0 else F.col("score")
-    raw = in_one_task(inside, dense.brandes, "id string, score double")
-    return ids.join(raw, "id", "left").na.fill(0.0, ["score"]).select("id", score.alias("betweenness")), ""
+    turns = -(-n // SOURCES)
+    shared = inside.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(max(turns - 1, 0)))).alias("turn"))
 
+    def some(key: tuple, pairs: pa.Table) -> pa.Table:
+        return dense.brandes(pairs, key[0].as_py(), turns)
 
-def spread_least(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Labels (id, label) after each node has the least label of all that reach it along pairs (src, dst)."""
-    while True:
-        came = pairs.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("came"))
-        new = step(labels.join(came, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("came", "label")).alias("label")))
-        if not new.where("old <> label").limit(1).count():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
+    raw = shared.groupBy("turn").applyInArrow(some, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    return ids.join(raw, "id", "left").na.fill(0.0, ["score"]).select("id", score.alias("betweenness")), ""
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = CLOSURE_NODES) -> DataFrame:
-    """(id, scc): the least id of each strongly connected component, singletons included.
 
-    Graphs of up to `most` nodes with an edge are a bit matrix in one task.  Beyond, nodes without an edge in or out of the rest are trimmed off as singletons, round by round.  Then each node is
-    coloured by the least id that reaches it, and what reaches a colour's own node within the colour is its component;
-    found components go, and the rest starts over.
-    """
-    ids = nodes.select("id")
-    left = step(edges.where("src <> dst").select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    if left.select("src").union(left.select("dst")).distinct().limit(most + 1).count() <= most:
-        strong = in_one_task(left, dense.strong, "id string, scc string")
-        return ids.join(strong, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
-    found: list[DataFrame] = []
-    while True:
-        size = left.count()
-        while size:
-            left = step(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-            now = left.count()
-            if now == size:
-                break
-            size = now
-        if not size:
-            break
-        inside = left.select(F.col("src").alias("id")).union(left.select(F.col("dst").alias("id"))).distinct()
-        colour = spread_least(inside.withColumn("label", F.col("id")), left)
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = step(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        # backwards, only the colour's own node has its label to give
-        reached = spread_least(colour.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).otherwise(F.concat(F.lit("\U0010ffff"), "label")).alias("label")), back)
-        done = step(reached.join(colour.withColumnRenamed("label", "colour"), "id").where("label = colour").select("id", F.col("colour").alias("scc")))
-        found.append(done)
-        left = step(left.join(done.select(F.col("id").alias("src")), "src", "left_anti").join(done.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    if not found:
-        return ids.select("id", F.col("id").alias("scc"))
-    return ids.join(reduce(DataFrame.unionByName, found), "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, scc): the least id of each strongly connected component, singletons included; see `reach`."""
+    return reach.components(nodes, edges)
 
 
 # -- tangles

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.ratios import half_even, ratio
 from quern.operators import graph as g
+from quern.operators import reach
 from quern.plans import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +108,10 @@ def g_pagerank(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges)
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE} SELECT src, count(*) FILTER (src <> dst) AS reached FROM closure GROUP BY 1")
 def g_reachable(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
-    return g.closure(both(spark, sf_dir, bound)[1]).groupBy("src").agg(F.count_if(F.col("src") != F.col("dst")).alias("reached"))
+    """Of the nodes with an edge out."""
+    nodes, edges = both(spark, sf_dir, bound)
+    seen = reach.visibility(nodes, edges).join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    return seen.select(F.col("id").alias("src"), (F.col("vfo") - 1).alias("reached"))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE}, n AS (SELECT count(*) AS n FROM nodes) SELECT n AS nodes, CASE WHEN n <= 3000 THEN round_even((SELECT count(*) FROM closure WHERE src <> dst) / (n * n)::DOUBLE, 4) END AS cost, CASE WHEN n <= 3000 THEN '' ELSE 'transitive closure skipped: ' || n || ' nodes exceeds cap 3000' END AS note FROM n")
@@ -115,7 +119,7 @@ def g_propagation_cost(spark: SparkSession, sf_dir: str, bound: Edges = b.module
     return g.propagation_cost(*both(spark, sf_dir, bound))
 
 
-@query(f"WITH RECURSIVE {b.GRAPH_SQL}, {between('edges', 'nodes')}, n AS (SELECT count(*)::DOUBLE AS n FROM nodes) SELECT id, round_even(coalesce(score, 0) / ((n - 1) * (n - 2)), 4) AS betweenness FROM nodes LEFT JOIN through USING (id), n")
+@query(f"WITH RECURSIVE {b.GRAPH_SQL}, {between('edges', '(SELECT id FROM nodes WHERE (SELECT count(*) FROM nodes) <= 1200)')}, n AS (SELECT count(*) AS n FROM nodes) SELECT id, CASE WHEN n <= 1200 THEN round_even(coalesce(score, 0) / ((n - 1) * (n - 2))::DOUBLE, 4) END AS betweenness FROM nodes LEFT JOIN through USING (id), n")
 def g_betweenness(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     return g.betweenness(*both(spark, sf_dir, bound))[0]
 
@@ -307,14 +311,21 @@ def h_cumulative_dependency(spark: SparkSession, sf_dir: str, bound: Edges = b.m
     """CCD counts each node as its own dependency; NCCD holds it against a balanced binary tree of as many nodes."""
     nodes, edges = both(spark, sf_dir, bound)
     n = F.col("n")
-    rows = nodes.agg(F.count("*").alias("n")).crossJoin(g.closure(edges).where("src <> dst").agg(F.count("*").alias("pairs"))).withColumn("ccd", n + F.col("pairs"))
+    rows = reach.visibility(nodes, edges).agg(F.count("*").alias("n"), F.sum("vfo").alias("ccd"))
     return rows.select("ccd", half_even(ratio(F.col("ccd"), n), 4).alias("acd"), half_even(ratio(F.col("ccd"), n * n), 4).alias("racd"), half_even(ratio(F.col("ccd"), (n + 1) * F.log2(n + 1) - n), 4).alias("nccd"))
 
 
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {CLOSURE} SELECT id, (SELECT count(*) FROM closure WHERE dst = n.id AND src <> dst) AS vfi, (SELECT count(*) FROM closure WHERE src = n.id AND src <> dst) AS vfo FROM nodes n")
 def h_visibility(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
     nodes, edges = both(spark, sf_dir, bound)
-    return g.fans(nodes, g.closure(edges).where("src <> dst")).select("id", F.col("fan_in").alias("vfi"), F.col("fan_out").alias("vfo"))
+    return reach.visibility(nodes, edges).select("id", (F.col("vfi") - 1).alias("vfi"), (F.col("vfo") - 1).alias("vfo"))
+
+
+@query(f"""WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, seen AS MATERIALIZED (SELECT id, scc, 1 + (SELECT count(*) FROM closure WHERE dst = x.id AND src <> dst) AS vfi, 1 + (SELECT count(*) FROM closure WHERE src = x.id AND src <> dst) AS vfo FROM scc x),
+cut AS (SELECT greatest(2, percentile_disc(0.5) WITHIN GROUP (ORDER BY vfi DESC)) AS vfi_cutoff, greatest(2, percentile_disc(0.5) WITHIN GROUP (ORDER BY vfo DESC)) AS vfo_cutoff FROM seen)
+SELECT id, scc, vfi, vfo, CASE WHEN vfi >= vfi_cutoff AND vfo >= vfo_cutoff THEN 'core' WHEN vfi >= vfi_cutoff THEN 'shared' WHEN vfo >= vfo_cutoff THEN 'control' ELSE 'peripheral' END AS part, vfi_cutoff, vfo_cutoff FROM seen, cut""")
+def h_core_split(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    return reach.core_split(reach.visibility(*both(spark, sf_dir, bound)))
 
 
 @query(f"WITH {b.GRAPH_SQL}, s AS (SELECT avg(fan_in + fan_out) + 1.5::DOUBLE * stddev_pop(fan_in + fan_out) AS cut FROM fans) SELECT id, fan_in + fan_out AS degree FROM fans, s WHERE fan_in + fan_out > cut")

@@ -185,18 +185,6 @@ def test_verdict_by_the_stated_thresholds(spark):
     assert got == ["SOUND", "DRIFTING", "DRIFTING", "DRIFTING", "ERODED", "ERODED", "ERODED"]
 
 
-def test_large_graphs_go_the_other_way_and_agree(spark):
-    import random
-
-    r = random.Random(3)
-    pairs = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(55)}
-    edges = spark.createDataFrame([(*p, 1) for p in pairs], "src string, dst string, weight bigint")
-    nodes = spark.createDataFrame([(f"n{i}", "a.py", "python", 1, 0, 0, 0) for i in range(42)], NODE)
-    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert same(g.closure(edges), g.closure(edges, most=3)) and same(g.components(nodes, edges), g.components(nodes, edges, most=3))
-    assert g.closure(edges.limit(0)).count() == 0 and g.components(nodes, edges.limit(0)).count() == 42
-
-
 def test_names(spark):
     row = one(spark.createDataFrame([("a/NoopLogger.py", "a/nonexistent_price.py")], "x string, y string").select(g.name_words(F.col("x")).alias("w"), g.is_absent_resolver(F.col("x")).alias("a"), g.is_absent_resolver(F.col("y")).alias("b"), g.is_under(F.lit("src/billing2"), F.lit("src/billing")).alias("u")))
     assert row.w == ["noop", "logger"] and row.a and not row.b and not row.u
