@@ -28,7 +28,7 @@ from quern.llm.shared import give_back, held_out, short_batches, table
 
 #: Labelled documents that the classifier is fitted on at most; they are the first by a hash of the id.
 MOST_TAUGHT = 3000
-#: Characters of all these texts together at most; the driver holds no more.
+#: Characters of all these texts together at most; the driver holds no more.  Where they hold more, the longest are left out.
 TAUGHT_CHARS = 64 << 20
 #: Documents of the sample that must hold a feature before it gets a weight.
 LEAST_DOCS = 4
@@ -120,14 +120,16 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_TAUGHT, chars: i
     """(id, label, text): at most `most` labelled documents of `chars` characters together, one row an id.
 
     The ids are chosen first, by a hash, from those of the label table that docs hold (the greatest label of a repeated
-    id counts, and the least of its texts), so that only the chosen texts leave the scan.
+    id counts, and the least of its texts), so that only the chosen texts leave the scan.  Of the chosen texts the shortest
+    come first until `chars` is reached, so a very long one is left out alone and takes no other with it.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), "toxic").where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("label"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     chosen = known.join(own.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
     rows = own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    size = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("own", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    size = F.sum("own").over(Window.orderBy("own", "id").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("chars", size).where(F.col("chars") <= chars).select("id", "label", "text")
 
 

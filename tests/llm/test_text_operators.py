@@ -218,6 +218,16 @@ def test_toxicity_holds_out_and_bounds_what_it_learns_from(spark):
     assert toxicity.learn(docs.limit(0), labels).noise == 0 and toxicity.learn(docs, labels.limit(0)).weights == {}
 
 
+def test_toxicity_sample_leaves_out_only_the_texts_that_do_not_fit(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    for long in (0, 7, 31, 59):
+        docs = documents(spark, ["x" * (5000 if i == long else 100) for i in range(60)])
+        ids = {x.id for x in toxicity.sample(docs, labels, chars=5000).collect()}
+        assert ids == {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2} - {long}
+    model = toxicity.learn(documents(spark, [f"you are awful {i}." if i % 2 else f"a good day {i}." for i in range(59)] + ["long " * 40_000]), labels)
+    assert model.weights
+
+
 def test_toxicity_gradient_is_that_of_finite_differences():
     r = np.random.default_rng(5)
     doc, y = np.sort(r.integers(0, 6, 15)), np.array([1, 0, 0, 1, 0, 1.0])
