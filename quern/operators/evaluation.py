@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.ratios import prf, ratio, wilson
+from quern.functions.sequences import ascents, of_pairs
 
 
 def tool_match(calls: DataFrame) -> DataFrame:
@@ -91,31 +92,21 @@ def mean_average_precision(flags: DataFrame, k: int) -> DataFrame:
 def kendall(orders: DataFrame) -> DataFrame:
     """orders(case_id, side actual|ideal, pos, item) -> the pairs of shared items in and against the ideal order, and tau.
 
-    Items are distinct within a side.  The pairs of a case are counted by merge order: for each item, how many of those
-    before it in the actual order come later in the ideal one.
+    Items are distinct within a side.  A case's shared items in actual order are one array of ideal places, whose ascending pairs
+    are counted while its halves are merged.
     """
     a = orders.where("side = 'actual'").select("case_id", "item", F.col("pos").alias("a"))
     i = orders.where("side = 'ideal'").select("case_id", "item", F.col("pos").alias("i"))
     shared = a.join(i, ["case_id", "item"]).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("a", "i"))).alias("all"))
-    ideal = F.transform("all", lambda x: x["i"])
-    after = F.transform(ideal, lambda x, k: F.size(F.filter(F.slice(ideal, k + F.lit(2), F.size(ideal)), lambda y: y > x)))
     n = F.size("all")
-    out = shared.select("case_id", n.alias("shared"), F.aggregate(after, F.lit(0), lambda s, x: s + x).alias("concordant"), (n * (n - 1) / 2).cast("long").alias("pairs"))
+    out = shared.select("case_id", n.alias("shared"), ascents(F.transform("all", lambda x: x["i"])).cast("int").alias("concordant"), (n * (n - 1) / 2).cast("long").alias("pairs"))
     out = out.withColumn("discordant", F.col("pairs") - F.col("concordant"))
     return out.withColumn("tau", ratio(F.col("concordant") - F.col("discordant"), F.col("pairs")))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence of two arrays, row by row of the table inside nested folds."""
-    zero = F.transform(b, lambda _: F.lit(0))
-
-    def row(prev: Column, x: Column) -> Column:
-        # cur is one longer than b: cur[0] = 0
-        step = lambda cur, j: F.concat(cur, F.array(F.when(F.element_at(b, j) == x, F.when(j > 1, F.try_element_at(prev, j - 1)).otherwise(0) + 1).otherwise(F.greatest(F.element_at(prev, j), F.element_at(cur, -1)))))
-        cur = F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), step)
-        return F.slice(cur, 2, F.size(b))
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    """The length of the longest common subsequence of two arrays; items are compared as strings."""
+    return of_pairs("common", a, b).cast("int")
 
 
 def trajectory(cases: DataFrame) -> DataFrame:
@@ -271,6 +262,17 @@ def edit_similarity(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.levenshtein("expected", "actual").alias("distance"), F.coalesce(1 - ratio(F.levenshtein("expected", "actual"), longer), F.lit(1.0)).alias("similarity"))
 
 
+def token_edit_similarity(cases: DataFrame) -> DataFrame:
+    """cases(case_id, expected array, actual array) -> distance, over_longer, over_expected: the token form of `edit_similarity`.
+
+    Both normalisations are shown, as the measure names none: 1 - distance / the longer length (two empty ones are alike) and
+    1 - distance / the expected length, which may be negative and is NULL without expected tokens.
+    """
+    d = cases.select("case_id", of_pairs("distance", F.col("expected"), F.col("actual")).cast("int").alias("distance"), F.size("expected").alias("e"), F.size("actual").alias("a"))
+    longer = F.when(F.greatest("e", "a") == 0, 1.0).otherwise(1 - ratio(F.col("distance"), F.greatest("e", "a")))
+    return d.select("case_id", "distance", longer.alias("over_longer"), (1 - ratio(F.col("distance"), F.col("e"))).alias("over_expected"))
+
+
 def bootstrap_means(cases: DataFrame, replicas: int, seed: int = 1) -> DataFrame:
     """cases(i from 0, score) -> replica, mean: each replica draws as many cases with replacement, by a fixed hash.
 

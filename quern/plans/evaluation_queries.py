@@ -279,6 +279,16 @@ def e_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ev.edit_similarity(b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_name").alias("expected"), F.col("p_type").alias("actual"))))
 
 
+@query("""WITH c AS (SELECT user_id AS case_id, coalesce(string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) FILTER (day(ts) < 16), '') AS e, coalesce(string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) FILTER (day(ts) >= 16), '') AS a FROM events GROUP BY 1)
+SELECT case_id, levenshtein(e, a)::INTEGER AS distance, CASE WHEN e = '' AND a = '' THEN 1.0 ELSE round_even(1 - levenshtein(e, a) / greatest(length(e), length(a))::DOUBLE, 9) END AS over_longer, round_even(1 - levenshtein(e, a) / nullif(length(e), 0)::DOUBLE, 9) AS over_expected FROM c""")
+def e_token_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's event types of the month's first half against those of the second; the twin writes each as its first letter."""
+    early = F.day("ts") < 16
+    rows = b.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"))
+    parts = {k: F.array_sort(F.collect_list(F.when(half, F.struct("ts", "event_id", "event_type")))) for k, half in (("expected", early), ("actual", ~early))}
+    return shown(ev.token_edit_similarity(rows.agg(*[F.transform(c, lambda x: x["event_type"]).alias(k) for k, c in parts.items()])))
+
+
 @query("""WITH c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS score FROM labels), n AS (SELECT count(*) AS n FROM c),
 d AS (SELECT c.i AS draw, r.replica, n FROM c, n, (SELECT unnest(range(20)) AS replica) r),
 p AS (SELECT replica, ('0x' || substr(md5('1:' || replica || ':' || draw), 1, 8))::BIGINT % n AS i FROM d)
