@@ -5,26 +5,14 @@ Parsing of Python has no SQL twin; the tests hold these against authored sources
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans import bindings as b
-from quern.sources import braces, pycode, scan
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+from quern.plans.registry import registry
+from quern.sources import braces, ignores, pycode, scan
 
-    return add
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +94,19 @@ def c_brace_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     one that opens on its own line doesn't.
     """
     return braces.violations(braces.measures(brace_files(spark, sf_dir))).select("path", "metric", F.col("value").cast("long").alias("value"), "severity", "cap")
+
+
+#: Ignore files of the listing, at the root and in one folder.
+IGNORES = [(".gitignore", "# made by tools\n*.log\n/en/*/d1*\n!d12*.log\nbuild/\n"), ("de/.gitignore", "!*.log\n*.tmp\n")]
+
+
+@query("""WITH f AS (SELECT lang, doc_id, 'd' || doc_id AS name, list_extract(['.py', '.log', '.tmp', '.md'], (doc_id % 4 + 1)::INTEGER) AS ext, lang || '/' || source || CASE WHEN doc_id % 9 = 0 THEN '/build' ELSE '' END AS folder FROM documents)
+SELECT folder || '/' || name || ext AS path, CASE WHEN doc_id % 11 = 0 THEN false WHEN doc_id % 9 = 0 THEN true WHEN lang = 'de' THEN ext = '.tmp' WHEN name LIKE 'd12%' AND ext = '.log' THEN false WHEN lang = 'en' AND name LIKE 'd1%' THEN true ELSE ext = '.log' END AS ignored FROM f""")
+def s_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of four kinds, some in a build folder, every eleventh tracked."""
+    k = F.col("doc_id")
+    ext = b.chosen([".py", ".log", ".tmp", ".md"], k % 4)
+    path = F.concat("lang", F.lit("/"), "source", F.when(k % 9 == 0, "/build").otherwise(""), F.lit("/d"), k.cast("string"), ext)
+    files = b.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    rules = spark.createDataFrame(IGNORES, "path string, text string")
+    return ignores.listed(files, rules, files.where("doc_id % 11 = 0")).select("path", "ignored")
