@@ -105,13 +105,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, sweep
     return nodes.select("id").join(ranked.select("id", half_even((F.col("all") + F.coalesce("rank", F.lit(0.0))) * n, 3).alias("pagerank")), "id")
 
 
-def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = False, cap: int = CLOSURE_NODES) -> DataFrame:
-    """One row: nodes, cost, note.  The start is left out of what it reaches unless include_self."""
+def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = False, cap: int = CLOSURE_NODES, scc: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, cost, note.  The start is left out of what it reaches unless include_self; scc may hold the components."""
     spark, n = nodes.sparkSession, nodes.count()
     if not n or n > cap:
         note = "no nodes" if not n else f"transitive closure skipped: {n} nodes exceeds cap {cap}"
         return spark.createDataFrame([(n, None, note)], "nodes bigint, cost double, note string")
-    seen = reach.visibility(nodes, edges).agg(F.sum("vfo").alias("pairs"))
+    seen = reach.visibility(nodes, edges, scc).agg(F.sum("vfo").alias("pairs"))
     return seen.select(F.lit(n).cast("bigint").alias("nodes"), half_even((F.col("pairs") - (0 if include_self else n)) / float(n * n), 4).alias("cost"), F.lit("").alias("note"))
 
 
