@@ -223,3 +223,25 @@ def core_split(seen: DataFrame, share: float = 0.5) -> DataFrame:
     wide_in, wide_out = F.col("vfi") >= F.col("vfi_cutoff"), F.col("vfo") >= F.col("vfo_cutoff")
     part = F.when(wide_in & wide_out, "core").when(wide_in, "shared").when(wide_out, "control").otherwise("peripheral")
     return rows.select("id", "scc", "vfi", "vfo", part.alias("part"), "vfi_cutoff", "vfo_cutoff")
+
+
+def liveness(nodes: DataFrame, edges: DataFrame, roles: DataFrame) -> DataFrame:
+    """id, path, role, fan_in, state, confidence of each node: what no composition root or registry reaches may be dead.
+
+    States: entry (a root, a registry or a test), live (reached from a root or a registry), tested (from tests alone), orphan
+    resolver (reached from neither), unused (nothing imports it) and island (only what isn't live imports it, perhaps itself).  An
+    orphan resolver is dead with high confidence; the others with low, as names may be used where no scan sees it; entries and live nodes have NULL.
+    """
+    named = numbers(nodes)
+    pairs = step(numbered_edges(named, edges))
+    known = named.join(roles.select("id", "role"), "id")
+    label = F.when(F.col("role").isin("root", "registry"), 0).when(F.col("role") == "test", 1)
+    reached_ = spread(known.select("n", label.cast("bigint").alias("label")), pairs)
+    fan_in = pairs.where("a <> z").groupBy(F.col("z").alias("n")).agg(F.count("*").alias("fan_in"))
+    rows = known.join(reached_, "n").join(fan_in, "n", "left").na.fill(0, ["fan_in"]).join(nodes.select("id", "path"), "id")
+    state = (
+        F.when(F.col("role").isin("root", "registry", "test"), "entry").when(F.col("label") == 0, "live").when(F.col("role") == "resolver", "orphan resolver")
+        .when(F.col("label") == 1, "tested").when(F.col("fan_in") == 0, "unused").otherwise("island")
+    )
+    rows = rows.withColumn("state", state)
+    return rows.select("id", "path", "role", "fan_in", "state", F.when(F.col("state") == "orphan resolver", "high").when(~F.col("state").isin("entry", "live"), "low").alias("confidence"))

@@ -17,6 +17,8 @@ MARK, REASON = "# quern:exempt", "--"
 HEAD_LINES = 20
 #: Files of a commit that one join key pairs.
 COMMIT_BLOCK = 512
+#: Lines of a change log that one part holds, as a power of two.
+LOG_BITS = 16
 DROPPED = ["min.js", "lock", "map", "snap", "png", "jpg", "jpeg", "gif", "svg", "pdf", "zip", "gz", "ico", "woff", "woff2", "ttf"]
 CODE = ["py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "kt", "kts", "go", "rb", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "scala", "php", "ex", "exs", "erl", "clj", "dart", "sh", "bash", "zsh", "awk", "pl", "lua", "m", "mm", "groovy", "gradle", "tf", "vue", "svelte"]
 
@@ -232,6 +234,34 @@ def lenient_json(text: Column, need: str) -> Column:
 # -- history
 
 
+def new_path(path: Column) -> Column:
+    """A path of a change log, after a rename: `old => new` and `a/{old => new}/b` are the new path."""
+    inner = F.regexp_replace(path, r"\{[^{}]* => ([^{}]*)\}", "$1")
+    whole = F.when(path.contains("{") & (inner != path), F.regexp_replace(inner, "//+", "/")).otherwise(F.regexp_replace(path, "^.* => ", ""))
+    return F.regexp_replace(whole, "^/", "")
+
+
+def numstat(log: DataFrame) -> DataFrame:
+    """log(line, text) of a history with changed lines -> sha, path, added, deleted: a row for each file of a commit.
+
+    A header is C, the commit and perhaps its parents; with two parents or more it is a merge, whose files are left out, as they
+    would count twice.  A file's line is added, deleted and path, parted by tabs; a binary file has dashes and NULL lines.  Other
+    lines, and files before the first header, are left out.  The log is cut by line numbers; what carries over is the last
+    header of the parts before, found from one row a part.
+    """
+    head = r"^C([0-9a-fA-F]+)((?: [0-9a-fA-F]+)*)\s*$"
+    rows = log.where("line is not null and text is not null").withColumn("part", F.shiftright(F.col("line").cast("bigint"), LOG_BITS))
+    sha = F.when(F.regexp_like("text", F.lit(head)), F.struct(F.regexp_extract("text", head, 1).alias("sha"), (F.size(F.split(F.trim(F.regexp_extract("text", head, 2)), " ")) > 1).alias("merge")))
+    rows = rows.withColumn("header", sha)
+    here = F.last("header", ignorenulls=True).over(Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy("part").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line"))).alias("end"))
+    before = ends.select("part", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    cells = F.split("text", "\t", 3)
+    files = rows.withColumn("here", here).where("header is null").join(before, "part").select(F.coalesce("here", "before").alias("of"), cells.alias("c"))
+    files = files.where((F.size("c") == 3) & F.regexp_like(F.element_at("c", 1), F.lit("^([0-9]+|-)$")) & F.col("of").isNotNull() & ~F.col("of.merge"))
+    return files.select("of.sha", new_path(F.col("c")[2]).alias("path"), F.col("c")[0].try_cast("bigint").alias("added"), F.col("c")[1].try_cast("bigint").alias("deleted"))
+
+
 def commit_pairs(rows: DataFrame, block: int = COMMIT_BLOCK) -> DataFrame:
     """sha, a, b with a < b: the pairs of the distinct (sha, path) in one commit.
 

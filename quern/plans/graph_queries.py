@@ -373,6 +373,16 @@ def h_dense_structure(spark: SparkSession, sf_dir: str, bound: Edges = b.module_
     return g.totals(*both(spark, sf_dir, bound)).select("nodes", "edges", half_even(d, 4).alias("density"), (d > 5).alias("dense"))
 
 
+@query(f"""WITH RECURSIVE {b.GRAPH_SQL}, {ROLE_SQL}, seen AS (SELECT id, CASE WHEN role = 'test' THEN 1 ELSE 0 END AS label FROM roles WHERE role IN ('root', 'registry', 'test') UNION SELECT e.dst, label FROM seen JOIN edges e ON e.src = seen.id),
+best AS (SELECT id, min(label) AS label FROM seen GROUP BY 1),
+r AS (SELECT f.id, f.path, role, (SELECT count(*) FROM edges e WHERE e.dst = f.id AND e.src <> e.dst) AS fan_in, CASE WHEN role IN ('root', 'registry', 'test') THEN 'entry' WHEN label = 0 THEN 'live' WHEN role = 'resolver' THEN 'orphan resolver' WHEN label = 1 THEN 'tested' WHEN f.fan_in = 0 THEN 'unused' ELSE 'island' END AS state
+  FROM fans f JOIN (SELECT id, role FROM roles) USING (id) LEFT JOIN best USING (id))
+SELECT id, path, role, fan_in, state, CASE WHEN state = 'orphan resolver' THEN 'high' WHEN state NOT IN ('entry', 'live') THEN 'low' END AS confidence FROM r""")
+def h_liveness(spark: SparkSession, sf_dir: str, bound: Edges = b.module_edges) -> DataFrame:
+    nodes, edges = both(spark, sf_dir, bound)
+    return reach.liveness(nodes, edges, g.roles(nodes, edges))
+
+
 # -- the same queries on the sparse graph
 
 

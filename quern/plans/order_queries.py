@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import feedback, smells
@@ -104,3 +104,25 @@ def h_independent_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     homes = b.table(spark, sf_dir, "supplier").select(b.module_name(k).alias("path"), F.concat_ws("/", "s_nationkey", k % 7).alias("module"), (F.col("s_nationkey") % 3).alias("layer"))
     return s.independent_modules(s.co_change(supplier_changes(spark, sf_dir), 5), b.sparse_edges(spark, sf_dir), homes)
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_partkey AS k, l_quantity::BIGINT AS q, l_linenumber AS n FROM lineitem WHERE l_orderkey % 9 <> 0)
+SELECT printf('%08x', l_orderkey) AS sha, CASE k % 6 WHEN 0 THEN 'src/new/f' || k || '.py' WHEN 1 THEN 'src/f' || k || '.py' WHEN 2 THEN 'lib/sub/f' || k || '.py' WHEN 3 THEN 'b' || k || '.py' ELSE 'src/f' || k || '.py' END AS path,
+  CASE WHEN k % 6 <> 4 THEN q END AS added, CASE WHEN k % 6 <> 4 THEN n::BIGINT END AS deleted FROM f""")
+def h_numstat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits of a log, every ninth a merge; parts as files, some renamed in each way, some binary."""
+    k, tab = F.col("l_partkey"), F.lit("\t")
+    name = F.concat(F.lit("f"), k.cast("string"), F.lit(".py"))
+    kind = k % 6
+    path = (
+        F.when(kind == 0, F.concat(F.lit("src/{old => new}/"), name)).when(kind == 1, F.concat(F.lit("src/{gone => }/"), name)).when(kind == 2, F.concat(F.lit("lib/{ => sub}/"), name))
+        .when(kind == 3, F.concat(F.lit("a => b"), k.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("src/"), name))
+    )
+    dash = kind == 4
+    cells = [F.when(dash, "-").otherwise(F.col(c).cast("bigint").cast("string")) for c in ("l_quantity", "l_linenumber")]
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = b.table(spark, sf_dir, "lineitem")
+    files = rows.select((F.col("l_orderkey") * 64 + F.row_number().over(by)).alias("line"), F.concat(cells[0], tab, cells[1], tab, path).alias("text"))
+    sha = F.format_string("%08x", F.col("l_orderkey"))
+    heads = rows.select("l_orderkey").distinct().select((F.col("l_orderkey") * 64).alias("line"), F.concat(F.lit("C"), sha, F.when(F.col("l_orderkey") % 9 == 0, " aa01 bb02").when(F.col("l_orderkey") % 2 == 0, " aa01").otherwise("")).alias("text"))
+    return s.numstat(files.unionByName(heads))

@@ -94,3 +94,26 @@ def test_module_pairs_need_no_edge_between_any_files(spark):
     edges = spark.createDataFrame([("b2", "a2"), ("c1", "c1"), ("d1", "c1")], "src string, dst string")
     assert [tuple(x) for x in s.independent_modules(pairs, edges, homes).collect()] == [("A", "C", 2, 7)]
     assert s.independent_modules(pairs, edges.limit(0), homes, 8).orderBy("m").select("m", "n", "pairs").collect() == [("A", "B", 1)]
+
+
+def test_change_logs(spark, monkeypatch):
+    text = "1\t1\tearly.py\nCa1\n3\t2\tx.py\n-\t-\tlogo.png\n0\t0\told.py => new.py\n0\t1\tsrc/{a => b}/f.py\n\nCb2 a1\n4\t0\tsrc/{ => in}/f.py\n5\t0\tsrc/{in => }/f.py\n6\t0\t{x => y}/f.py\n7\t0\ta\tb.py\nnot a line\nCc3 a1 b2\n9\t9\tx.py\nCd4\nCe5 d4\n8\t8\tx{y}.py"
+    want = [("a1", "x.py", 3, 2), ("a1", "logo.png", None, None), ("a1", "new.py", 0, 0), ("a1", "src/b/f.py", 0, 1), ("b2", "src/in/f.py", 4, 0), ("b2", "src/f.py", 5, 0), ("b2", "y/f.py", 6, 0), ("b2", "a\tb.py", 7, 0), ("e5", "x{y}.py", 8, 8)]
+    log = spark.createDataFrame([*enumerate(text.split("\n")), (None, "Cff"), (99, None)], "line int, text string")
+    for bits in (0, 2, 16):
+        monkeypatch.setattr(s, "LOG_BITS", bits)
+        assert sorted(map(str, map(tuple, s.numstat(log).collect()))) == sorted(map(str, want))
+    assert s.numstat(log.limit(0)).count() == 0
+
+
+def test_liveness_finds_what_keeps_itself_alive(spark):
+    from quern.operators import reach
+
+    roles = {"m": "root", "g": "registry", "t": "test", "a": "service", "b": "service", "r": "resolver", "i": "service", "j": "service", "u": "service", "x": "service"}
+    nodes = spark.createDataFrame([(i, f"{i}.py") for i in roles], "id string, path string")
+    edges = spark.createDataFrame([("m", "a"), ("a", "b"), ("t", "x"), ("t", "b"), ("i", "j"), ("j", "i"), ("u", "i"), ("r", "b"), ("u", "u")], "src string, dst string")
+    got = {x.id: (x.state, x.confidence, x.fan_in) for x in reach.liveness(nodes, edges, spark.createDataFrame(list(roles.items()), "id string, role string")).collect()}
+    assert got == {
+        "m": ("entry", None, 0), "g": ("entry", None, 0), "t": ("entry", None, 0), "a": ("live", None, 1), "b": ("live", None, 3), "r": ("orphan resolver", "high", 0),
+        "i": ("island", "low", 2), "j": ("island", "low", 1), "u": ("unused", "low", 0), "x": ("tested", "low", 1),
+    }
