@@ -13,8 +13,11 @@ from quern.sources import pycode, scan
 
 QUERIES, ORACLE_SQL, query = registry()
 
-K = F.col("s_suppkey")
-NAME = F.concat(F.lit("s"), K.cast("string"))
+
+def key() -> tuple[Column, Column]:
+    """A supplier's number, and the name of its module."""
+    k = F.col("s_suppkey")
+    return k, F.concat(F.lit("s"), k.cast("string"))
 
 
 def lines(n: Column | int, line: str) -> Column:
@@ -27,6 +30,7 @@ def where(test: Column, text: Column | str) -> Column:
 
 def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each supplier with a class of two methods; parameters, lines, branches and loops follow from its key."""
+    K, NAME = key()  # noqa: N806
     given = F.array_join(F.concat(F.array(F.lit("self")), F.when(K % 6 > 0, F.transform(F.sequence(F.lit(1), F.greatest(K % 6, F.lit(1))), lambda i: F.concat(F.lit("p"), i))).otherwise(F.array().cast("array<string>"))), ", ")
     pad = lambda depth: F.repeat(F.lit("    "), depth + 2)
     z = (K % 4).cast("int")
@@ -60,6 +64,7 @@ LOC = "3 + k % 20 + 1 + 3 - 1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHE
 
 def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of four languages with some abstract and some plain types each."""
+    K, NAME = key()  # noqa: N806
     by_lang = lambda ts, java, go: F.when(K % 3 == 0, F.lit(ts)).when(K % 3 == 1, F.lit(java)).otherwise(F.lit(go))
     abstract = by_lang("export interface I {}\n", "public interface I {}\n", "type I interface {}\n")
     plain = by_lang("export class C {}\n", "public final class C {}\n", "type S struct {}\n")
@@ -78,6 +83,7 @@ def s_made_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that break some of the linter's rules, by their key."""
+    K, NAME = key()  # noqa: N806
     path = F.concat(F.lit("m"), K.cast("string"), F.lit("/"), where(K % 8 == 0, "utils/"), F.when(K % 9 == 0, "helpers").otherwise(NAME), F.lit(".py"))
     method = F.concat(F.lit("def "), F.when(K % 5 == 0, "run").otherwise("total"), F.lit("(a):\n"), lines(F.when(K % 6 == 0, 26).otherwise(25), "    x = 1"))
     loop = F.concat(F.lit("for i in ITEMS:\n"), lines(F.when(K % 7 == 0, 9).otherwise(8), "    x = 1"))
@@ -108,6 +114,7 @@ def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every fifth is TypeScript and imports the one five further, by a relative or an aliased path.
     """
+    K, NAME = key()  # noqa: N806
     keys = b.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("z"))
     ahead = lambda by: keys.select((K - by).alias("s_suppkey"), F.col("z").alias(f"z{by}"))
     rows = keys.join(ahead(1), "s_suppkey", "left").join(ahead(5), "s_suppkey", "left")
