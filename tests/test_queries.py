@@ -10,8 +10,11 @@ from quern.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-#: Queries of loops over the graph take some seconds each; one for each loop is run here.
-SLOW = {"g_tangles", "g_inner_edges", "g_weakest_edge", "g_tangle_degrees", "g_shape_ratios", "g_verdict", "h_cyclicity"}
+#: Queries of loops over the graph take some seconds each; one for each loop is run here, others only against the driver's twins.
+SLOW = {
+    "g_tangles", "g_inner_edges", "g_weakest_edge", "g_tangle_degrees", "g_shape_ratios", "g_verdict", "h_cyclicity",
+    "g_inner_edges_sparse", "g_weakest_edge_sparse", "g_tangle_degrees_sparse", "g_shape_ratios_sparse", "g_reachable_sparse", "h_cumulative_dependency_sparse", "r_notes", "r_totals",
+}
 
 
 @pytest.fixture(scope="module")
