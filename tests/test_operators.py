@@ -481,13 +481,6 @@ def test_packages_and_history(spark):
     assert debt == {"a": (0.0, 0.0), "b": (0.5, 0.5), "c": (0.5, None), "d": (0.0, 0.0)}
 
 
-def test_sweeps_in_one_task_equal_those_by_joins(spark):
-    nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a"), ("e", "e")], extra=["lone"])
-    assert sorted(map(tuple, g.pagerank(nodes, edges).collect())) == sorted(map(tuple, g.pagerank(nodes, edges, most=0).collect()))
-    bare, none = graph(spark, [], extra=["x", "y"])
-    assert {r.pagerank for r in g.pagerank(bare, none).collect()} == {1.0}
-
-
 def test_statements_gate_what_makes_roles(spark):
     files = spark.createDataFrame([(1, "a", 'resource "aws_iam_role" "r" {}\nresource  "aws_lb" "l" {}\nbackend "s3" {'), (1, "a", 'resource "aws_iam_role" "r" {}'), (2, "b", None)], "doc int, path string, text string")
     table = spark.createDataFrame([("resource", "aws_iam_role", [], True)], "kind string, type string, actions array<string>, creates boolean")
