@@ -105,6 +105,8 @@ def test_ranks_and_betweenness_are_the_plain_ones(spark, monkeypatch, sinks):
         rank = new
     got = {r.id: r.pagerank for r in g.pagerank(nodes, edges).collect()}
     assert len(got) == n and all(got[f"n{i:03}"] == pytest.approx(rank[i] * n, abs=6e-4) for i in range(n))
+    if sinks:
+        assert {r.pagerank for r in g.pagerank(nodes.limit(9), edges.limit(0)).collect()} == {1.0} and g.pagerank(nodes.limit(0), edges).count() == 0
     raw = brandes(n, pairs)
     for sources in (64, 7):
         monkeypatch.setattr(g, "SOURCES", sources)
