@@ -76,19 +76,54 @@ def points_back() -> Column:
     return F.when(key("a") == key("z"), F.when(F.col("a_flip"), ~within).otherwise(within)).otherwise(key("a") > key("z"))
 
 
+def ordered(scc: DataFrame, edges: DataFrame, share: float = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The distinct edges within tangles (scc, src, dst) and the `feedback_order` of their nodes."""
+    inside = step(inner_edges(scc, edges.withColumn("weight", F.lit(1))).select("scc", "src", "dst").distinct())
+    return inside, step(feedback_order(inside, share))
+
+
 def feedback_edges(scc: DataFrame, edges: DataFrame, share: float = BUCKET) -> DataFrame:
     """scc, src, dst, back of the edges within tangles: without those that point back no cycle is left."""
-    inside = step(inner_edges(scc, edges.withColumn("weight", F.lit(1))).select("scc", "src", "dst").distinct())
-    order = step(feedback_order(inside, share))
+    return marked_edges(*ordered(scc, edges, share))
+
+
+def marked_edges(inside: DataFrame, order: DataFrame) -> DataFrame:
     a, z = (order.select("scc", F.col("id").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in ("side", "round", "surplus", "flip")]) for end, name in (("src", "a"), ("dst", "z")))
     return inside.join(a, ["scc", "src"]).join(z, ["scc", "dst"]).select("scc", "src", "dst", points_back().alias("back"))
 
 
-def feedback_check(marked: DataFrame) -> DataFrame:
+def places(order: DataFrame) -> DataFrame:
+    """scc, id, place of a `feedback_order`: places compare as its nodes stand; written, as the numbers depend on the partitions."""
+    right = F.col("side") == "right"
+    rows = order.select("scc", "id", right.alias("right"), F.when(right, -F.col("round")).otherwise(F.col("round")).alias("turn"), (-F.col("surplus")).alias("less"), "flip")
+    keys = ["scc", "right", "turn", "less", "id"]
+    n = F.monotonically_increasing_id()
+    return step(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("scc", "id", F.struct("right", "turn", F.when(F.col("flip"), -n).otherwise(n).alias("n")).alias("place")))
+
+
+def all_rise(rest: DataFrame, order: DataFrame) -> bool:
+    """Whether each edge of rest (scc, src, dst) leads from a lower place to a higher one; then no cycle can be in rest."""
+    at = places(order)
+    a, z = (at.select("scc", F.col("id").alias(end), F.col("place").alias(f"{end}_place")) for end in ("src", "dst"))
+    rows = rest.join(a, ["scc", "src"], "left").join(z, ["scc", "dst"], "left")
+    return not rows.where(~F.coalesce(F.col("src_place") < F.col("dst_place"), F.lit(False))).limit(1).count()
+
+
+def still_cyclic(marked: DataFrame) -> DataFrame:
+    """scc, cyclic: how many nodes of a tangle are on a cycle of the edges that don't point back; tangles without any have no row."""
+    ends = marked.select("scc", F.col("src").alias("id")).union(marked.select("scc", "dst")).distinct()
+    again = components(ends.select("id").distinct(), marked.where(~F.col("back")).select("src", "dst"))
+    caught = again.join(again.groupBy("scc").agg(F.count("*").alias("k")).where("k > 1"), "scc").select("id").join(ends.select(F.col("scc").alias("tangle"), "id"), "id")
+    return caught.groupBy(F.col("tangle").alias("scc")).agg(F.count("*").alias("cyclic"))
+
+
+def feedback_check(marked: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """The edges of `feedback_edges` -> scc, nodes, edges, two_cycles, back, bound, within, cyclic: a row a tangle.
 
     The bound is m / 2 - n / 6 of the edges outside two-cycles and their nodes, and one for each two-cycle; `cyclic` counts the
-    nodes that are still on a cycle when the back edges are gone, which is 0.
+    nodes that are still on a cycle when the back edges are gone, which is 0.  An order in which all other edges rise shows
+    that at once; without one, or where an edge doesn't rise, the components of the rest tell, and as these peel the rest layer by
+    layer, a dense tangle takes about as many rounds as its longest path has nodes.
     """
     marked = step(marked)
     single = one_way(marked.select("scc", "src", "dst"))
@@ -96,10 +131,10 @@ def feedback_check(marked: DataFrame) -> DataFrame:
     size = ends(marked).groupBy("scc").agg(F.count_distinct("id").alias("nodes"))
     few = ends(single).groupBy("scc").agg((F.count("*") / 2).cast("bigint").alias("m"), F.count_distinct("id").alias("n"))
     counts = marked.groupBy("scc").agg(F.count("*").alias("edges"), F.count_if("back").alias("back"))
-    rest = marked.where(~F.col("back"))
-    again = components(ends(marked).select("id").distinct(), rest.select("src", "dst"))
-    caught = again.join(again.groupBy("scc").agg(F.count("*").alias("k")).where("k > 1"), "scc").select("id").join(ends(marked).distinct().select(F.col("scc").alias("tangle"), "id"), "id")
-    cyclic = caught.groupBy(F.col("tangle").alias("scc")).agg(F.count("*").alias("cyclic"))
+    if order is not None and all_rise(marked.where(~F.col("back")), order):
+        cyclic = marked.groupBy("scc").agg(F.lit(0).cast("bigint").alias("cyclic"))
+    else:
+        cyclic = still_cyclic(marked)
     rows = size.join(counts, "scc").join(few, "scc", "left").join(cyclic, "scc", "left").na.fill(0, ["m", "n", "cyclic"])
     pairs = ((F.col("edges") - F.col("m")) / 2).cast("bigint")
     # in sixths, so that the comparison is exact

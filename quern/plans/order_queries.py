@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import feedback, smells
 from quern.operators import structure as s
 from quern.plans import bindings as b
-from quern.plans.graph_queries import SCC, tangled
+from quern.plans.graph_queries import SCC, Edges, tangled
 from quern.plans.registry import registry
 from quern.plans.structure_queries import supplier_changes
 
@@ -52,14 +52,19 @@ def h_feedback_edges_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.feedback_edges(*tangled(spark, sf_dir, b.sparse_edges))
 
 
+def checked(spark: SparkSession, sf_dir: str, bound: Edges) -> DataFrame:
+    inside, order = feedback.ordered(*tangled(spark, sf_dir, bound))
+    return feedback.feedback_check(feedback.marked_edges(inside, order), order)
+
+
 @query(f"WITH RECURSIVE {b.GRAPH_SQL}, {SCC}, {CHECK} {CHECKED}")
 def h_feedback_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.feedback_check(h_feedback_edges(spark, sf_dir))
+    return checked(spark, sf_dir, b.module_edges)
 
 
 @query(f"WITH RECURSIVE {b.SPARSE_GRAPH_SQL}, {SCC}, {CHECK} {CHECKED}")
 def h_feedback_check_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.feedback_check(h_feedback_edges_sparse(spark, sf_dir))
+    return checked(spark, sf_dir, b.sparse_edges)
 
 
 def yearly_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,26 @@ def test_back_edges_of_graphs_without_tangles(spark):
         assert marked.count() == 0 and feedback.feedback_check(marked).count() == 0
 
 
+def test_an_order_shows_that_no_cycle_is_left_without_peeling_the_rest(spark, monkeypatch):
+    r = random.Random(3)
+    edges = random_edges(r, 8, 30) | {("x1", "x2"), ("x2", "x1")}
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e})], "id string")
+    rows = spark.createDataFrame(sorted(edges), "src string, dst string")
+    inside, order = feedback.ordered(graph.step(graph.components(nodes, rows)), rows)
+    marked = graph.step(feedback.marked_edges(inside, order))
+    slow = sorted(map(tuple, feedback.feedback_check(marked).collect()))
+    # an edge too many in the rest: no order can have all rise, and the components find its cycle
+    broken = graph.step(marked.select("scc", "src", "dst", (marked.back & (marked.scc != "x1")).alias("back")))
+    assert not feedback.all_rise(broken.where("not back"), order)
+    assert {x.scc: x.cyclic for x in feedback.feedback_check(broken, order).collect()}["x1"] == 2
+
+    def never(*_):
+        raise AssertionError("the rest was peeled")
+
+    monkeypatch.setattr(feedback, "components", never)
+    assert sorted(map(tuple, feedback.feedback_check(marked, order).collect())) == slow
+
+
 def greedy(pairs: set[tuple[str, str]]) -> set[tuple[str, str]]:
     """(core, member), one core at a time."""
     left, out = set(pairs), set()
