@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.ratios import half_even
 from quern.operators.graph import components, inner_edges, step
 
 #: A bucket holds the nodes whose surplus is at least this share of the tangle's largest one.
@@ -139,4 +140,4 @@ def feedback_check(marked: DataFrame, order: DataFrame | None = None) -> DataFra
     pairs = ((F.col("edges") - F.col("m")) / 2).cast("bigint")
     # in sixths, so that the comparison is exact
     sixths = 3 * F.col("m") - F.col("n") + 6 * pairs
-    return rows.select("scc", "nodes", "edges", pairs.alias("two_cycles"), "back", F.bround(sixths / 6, 4).alias("bound"), (6 * F.col("back") <= sixths).alias("within"), "cyclic")
+    return rows.select("scc", "nodes", "edges", pairs.alias("two_cycles"), "back", half_even(sixths / 6, 4).alias("bound"), (6 * F.col("back") <= sixths).alias("within"), "cyclic")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.ratios import half_even
+
 #: Fixed values: (metric, warn, hard); a NULL warn has one step only.
 LIMITS = [("file_lines", 200, 250), ("method_lines", 15, 25), ("nesting", None, 1), ("loop_body", None, 8), ("params", 3, 4), ("public", 5, 7), ("folder_files", 5, 7), ("else_branch", None, 0)]
 NOT_COUNTED = [".tf", ".tfvars", ".h", ".hpp"]
@@ -304,14 +306,14 @@ def temporal_coupling(changes: DataFrame, least_revisions: int, least_shared: in
     """a, b, shared, degree: 100 times the shared commits over the mean of the two files' revisions."""
     r = revisions(changes).where(F.col("revisions") >= least_revisions)
     rows = co_change(changes, least_shared, least_revisions).join(r.select(F.col("path").alias("a"), F.col("revisions").alias("ra")), "a").join(r.select(F.col("path").alias("b"), F.col("revisions").alias("rb")), "b")
-    return rows.select("a", "b", "shared", F.bround(200.0 * F.col("shared") / (F.col("ra") + F.col("rb")), 4).alias("degree"))
+    return rows.select("a", "b", "shared", half_even(200.0 * F.col("shared") / (F.col("ra") + F.col("rb")), 4).alias("degree"))
 
 
 def ownership(changes: DataFrame, minor: float) -> DataFrame:
     """path, author, commits, share, minor: an author with less than that share is a minor one."""
     by = changes.groupBy("path", "author").agg(F.count_distinct("sha").alias("commits"))
     share = F.col("commits") / F.sum("commits").over(Window.partitionBy("path"))
-    return by.select("path", "author", "commits", F.bround(share, 4).alias("share"), (share < minor).alias("minor"))
+    return by.select("path", "author", "commits", half_even(share, 4).alias("share"), (share < minor).alias("minor"))
 
 
 def implicit_dependencies(pairs: DataFrame, package: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:

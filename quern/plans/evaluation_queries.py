@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.ratios import ratio
+from quern.functions.ratios import half_even, ratio
 from quern.operators import evaluation as ev
 from quern.operators import skyline
 from quern.plans import bindings as b
@@ -18,7 +18,7 @@ QUERIES, ORACLE_SQL, query = registry()
 
 
 def shown(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*[F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[half_even(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ BINS = f"WITH {b.PAIRS_SQL}, n AS (SELECT least(9, floor(p * 10)::INTEGER) AS bi
 
 @query(BINS + "SELECT bin, n, round_even(confidence, 9) AS confidence, round_even(accuracy, 9) AS accuracy, round_even(squares, 6) AS squares FROM n")
 def m_calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ev.calibration_bins(b.calibration_pairs(spark, sf_dir))).withColumn("squares", F.bround("squares", 6))
+    return shown(ev.calibration_bins(b.calibration_pairs(spark, sf_dir))).withColumn("squares", half_even(F.col("squares"), 6))
 
 
 @query(BINS + "SELECT sum(n)::BIGINT AS n, round_even(sum(squares) / sum(n), 9) AS brier, round_even(sum(n * abs(confidence - accuracy)) / sum(n), 9) AS ece FROM n")
@@ -198,7 +198,7 @@ def e_recovery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS slice, round_even(sum(value), 4) AS cost, count(*) FILTER (value >= 50) AS successes, round_even(sum(value) / nullif(count(*) FILTER (value >= 50), 0), 6) AS per_success FROM events GROUP BY 1")
 def e_cost_per_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("slice"), (F.col("value") >= 50).alias("ok"), F.col("value").alias("cost"))
-    return ev.cost_per_success(runs).select("slice", F.bround("cost", 4).alias("cost"), "successes", F.bround("per_success", 6).alias("per_success"))
+    return ev.cost_per_success(runs).select("slice", half_even(F.col("cost"), 4).alias("cost"), "successes", half_even(F.col("per_success"), 6).alias("per_success"))
 
 
 @query("SELECT o_orderkey AS case_id, count(*) - 1 AS retries, round_even(1.0::DOUBLE / count(*), 9) AS efficiency FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -225,13 +225,13 @@ def e_pareto_front_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by quantity, mean price and mean days to shipping; every fiftieth has no latency and so can't be compared."""
     lines = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     days = F.sum(F.datediff("l_shipdate", "o_orderdate")) / F.count("*")
-    by = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), F.bround(F.avg("l_extendedprice"), 2).alias("cost"), days.alias("latency"))
+    by = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), half_even(F.avg("l_extendedprice"), 2).alias("cost"), days.alias("latency"))
     return skyline.pareto_front(by.withColumn("latency", F.when(F.col("id") % 50 != 0, F.col("latency"))))
 
 
 @query("WITH p AS (SELECT s_suppkey AS id, sum(l_quantity) AS quality, round_even(avg(l_extendedprice), 2) AS cost FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) SELECT cost, quality, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.quality >= p.quality AND q.cost <= p.cost AND (q.quality > p.quality OR q.cost < p.cost))")
 def e_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), F.bround(F.avg("l_extendedprice"), 2).alias("cost"))
+    points = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("id")).agg(F.sum("l_quantity").alias("quality"), half_even(F.avg("l_extendedprice"), 2).alias("cost"))
     return ev.pareto_front(points)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.ratios import half_even
 from quern.operators import structure as s
 from quern.plans import bindings as b
 from quern.plans.registry import registry
@@ -195,7 +196,7 @@ def p_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spend of each supplier and month against a limit of 100,000."""
     by = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.sum("l_extendedprice").alias("sum"))
-    return by.select("supplier", "month", F.bround("sum", 2).alias("spent"), (F.col("sum") >= 100000).alias("tripped"))
+    return by.select("supplier", "month", half_even(F.col("sum"), 2).alias("spent"), (F.col("sum") >= 100000).alias("tripped"))
 
 
 # -- history
