@@ -21,6 +21,8 @@ from quern.operators.shared import step
 #: The largest graphs that get a closure, a betweenness, and a betweenness inside one tangle.
 CLOSURE_NODES, BETWEENNESS_NODES, TANGLE_NODES = 3000, 1200, 400
 DAMPING, SWEEPS = 0.85, 40
+#: How the note on a propagation cost begins that wasn't measured.
+SKIPPED = "transitive closure skipped"
 #: Sources of shortest paths that one task follows.
 SOURCES = 64
 #: Equal nodes that hold the part of the ranks that all nodes have.
@@ -109,7 +111,7 @@ def propagation_cost(nodes: DataFrame, edges: DataFrame, include_self: bool = Fa
     """One row: nodes, cost, note.  The start is left out of what it reaches unless include_self; scc may hold the components."""
     spark, n = nodes.sparkSession, nodes.count()
     if not n or n > cap:
-        note = "no nodes" if not n else f"transitive closure skipped: {n} nodes exceeds cap {cap}"
+        note = "no nodes" if not n else f"{SKIPPED}: {n} nodes exceeds cap {cap}"
         return spark.createDataFrame([(n, None, note)], "nodes bigint, cost double, note string")
     seen = reach.visibility(nodes, edges, scc).agg(F.sum("vfo").alias("pairs"))
     return seen.select(F.lit(n).cast("bigint").alias("nodes"), half_even((F.col("pairs") - (0 if include_self else n)) / float(n * n), 4).alias("cost"), F.lit("").alias("note"))
