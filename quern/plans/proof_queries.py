@@ -137,8 +137,11 @@ SELECT a.id AS src, t.id AS dst, 1::BIGINT AS weight FROM k a JOIN k t ON t.k =
 UNION ALL SELECT a.id, t.id, 1 FROM k a JOIN k t ON t.k = a.k + 1 WHERE a.k % 5 <> 0 AND t.k % 5 = 0 AND a.z = t.z AND a.k % 4 IN (1, 2)
 UNION ALL SELECT a.id, t.id, 1 FROM k a JOIN k t ON t.k = a.k + 5 WHERE a.k % 5 = 0""")
 def s_made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports by a tail, beside, relative, aliased, past the root and by a name that several modules have."""
-    return scan.edges(scan.resolved(scan.nodes(scan.records(importing_files(spark, sf_dir)))))
+    """Imports by a tail, beside, relative, aliased, past the root and by a name that several modules have.
+
+    A neighbour is bound by a bare name or by one dot alone, as the twin says: not by a longer name whose last part it has.
+    """
+    return scan.edges(scan.resolved(scan.nodes(scan.records(importing_files(spark, sf_dir))), strict_tail=True))
 
 
 @query(f"WITH {b.GRAPH_SQL}, m AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS pkg FROM supplier), i AS (SELECT e.src, z.pkg AS module FROM edges e JOIN m z ON z.id = e.dst UNION ALL SELECT id, unnest(['os', 'sys']) FROM m) SELECT m.pkg || '/' || m.id || '.py' AS path, module, count(*) AS lines FROM i JOIN m ON m.id = i.src GROUP BY 1, 2")

@@ -47,3 +47,11 @@ def test_instability_at_a_tie(spark, tmp_path, name):
     imports(tmp_path, to_one + to_two + [(1, i) for i in range(3, 205)] + [(2, i) for i in range(3, 130)])
     got = same(spark, tmp_path, name)
     assert (("s2", 0.001, 0.197, "s1") if name == "h_stability_gap" else (round(1 / 203, 4), "s1", 203, 1)) in got
+
+
+def test_a_longer_name_binds_no_neighbour_in_the_made_sources(spark, tmp_path):
+    """Up to key 35 of one nation, so there each TypeScript module lies beside the Python module before it, which names it in one of four ways."""
+    suppliers(tmp_path, 40, nation="CASE WHEN k > 35 THEN 4 ELSE 3 END")
+    imports(tmp_path, [(1, 2)])
+    ends = {(src, dst) for dst, src, _ in same(spark, tmp_path, "s_made_edges")}
+    assert {k: (f"root.n3.s{k}", f"root/n3/s{k + 1}") in ends for k in (4, 9, 14, 19)} == {4: False, 9: True, 14: True, 19: False}
