@@ -5,7 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of an Arrow batch that carries texts to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes, where the session sets no numbers of its own."""
+    own = spark._jsparkSession.sessionState().conf().settings()
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not own.containsKey(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def step(df: DataFrame) -> DataFrame:

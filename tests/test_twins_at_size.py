@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.catalog import ORACLE_SQL, QUERIES
 from quern.functions.ratios import half_even
+from quern.sources import scan
 
 
 def same(spark, folder: str, name: str) -> list[tuple]:
@@ -55,3 +56,11 @@ def test_a_longer_name_binds_no_neighbour_in_the_made_sources(spark, tmp_path):
     imports(tmp_path, [(1, 2)])
     ends = {(src, dst) for dst, src, _ in same(spark, tmp_path, "s_made_edges")}
     assert {k: (f"root.n3.s{k}", f"root/n3/s{k + 1}") in ends for k in (4, 9, 14, 19)} == {4: False, 9: True, 14: True, 19: False}
+
+
+def test_sources_are_parsed_a_few_at_a_time(spark):
+    assert list(scan.cuts(["a" * 4, None, "b" * 7, "c" * 2, "d", "e" * 30], 8)) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(scan.cuts([])) == []
+    files = spark.range(0, 700, numPartitions=1).selectExpr("concat('p/m', id, '.py') as path", "concat('import m', id, '\n', repeat('x = 1\n', 200)) as text")
+    got = scan.records(files).select("id", "loc", "raw").collect()
+    assert len(got) == 700 and all(r.loc == 201 and r.raw == [r.id.removeprefix("p.")] for r in got)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
