@@ -19,8 +19,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
-def step(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (on a single machine a temporary one where that is unset) and read again."""
+def step(df: DataFrame, block: int | None = None) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir (on a single machine a temporary one where that is unset) and read again.
+
+    block: the bytes of a row group, where Parquet's own are too many.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -29,5 +32,5 @@ def step(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": block} if block else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,3 +64,30 @@ def test_sources_are_parsed_a_few_at_a_time(spark):
     got = scan.records(files).select("id", "loc", "raw").collect()
     assert len(got) == 700 and all(r.loc == 201 and r.raw == [r.id.removeprefix("p.")] for r in got)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_imports_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    files = spark.range(40).select(F.expr("concat('p', id % 3, '/m', id, '.py') as path"), F.expr("concat('import p', (id + 1) % 3, '.m', id + 1, ', os\n', 'from . import m', id + 3, '\n', 'import m', id + 2) as text"))
+    found = scan.resolved(scan.nodes(scan.records(files.select("path", counted("text").alias("text"))))).collect()
+    assert seen.value == 40
+    got = {(r.src, r.target): r.dst for r in found if r.sure}
+    want = {(f"p{i % 3}.m{i}", name): dst for i in range(40) for name, dst in ((f"p{(i + 1) % 3}.m{i + 1}", f"p{(i + 1) % 3}.m{i + 1}" if i < 39 else None), ("os", None), (f"m{i + 2}", None), (f"p{i % 3}", None))}
+    assert got == want and {(r.src, r.dst) for r in found if not r.sure} == {(f"p{i % 3}.m{i}", f"p{i % 3}.m{i + 3}" if i < 37 else None) for i in range(40)}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_uses_are_counted_within_a_node(spark, strict):
+    rows = [("m/a", "a/x.go", "go", ["m/b", "c", "m/b", None, "c", "m/b", None], ["c"], ["c"]), ("m/b", "b/y.go", "go", [], [], []), ("q/m/b", "q/z.go", "go", ["a", "m/a"], ["m/a", "m/a"], []), ("m/c", "a/c.go", "go", [], [], [])]
+    node = spark.createDataFrame(rows, "id string, path string, lang string, raw array<string>, raw_maybe array<string>, beside array<string>")
+    got = {(r.src, r.target, r.sure): (r.times, r.dst) for r in scan.resolved(node, strict_tail=strict).collect()}
+    assert got == {
+        ("m/a", "m/b", True): (3, "m/b"), ("m/a", "c", True): (2, "m/c"), ("m/a", None, True): (2, None), ("m/a", "c", False): (1, "m/c"),
+        ("q/m/b", "a", True): (1, None), ("q/m/b", "m/a", True): (1, "m/a"), ("q/m/b", "m/a", False): (2, "m/a"),
+    }
