@@ -45,10 +45,9 @@ BREAKS = {
     "p", "div", "br", "hr", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "title",
     "head", "body", "blockquote", "pre", "td", "th", "dd", "dt", "dl", "form", "option", "aside", "main",
 }
-MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9]*)|/)")
+#: A comment's begin, or a whole tag; its last group is empty where the tag has no end.
+MARKUP = re.compile(r"<(?:(!--)|(?:[!?]|(/?)([a-zA-Z][a-zA-Z0-9]*)|/)[^>]*(>?))")
 CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
-BLANKS = re.compile(r"[^\S\n]+")
-LINES = re.compile(r" ?\n[ \n]*")
 HREF = re.compile(r"\bhref\s*=", re.I)
 #: Bytes that a reader takes from a file, and records that it passes on, at a time.
 READ_BYTES, READ_ROWS = 1 << 20, 256
@@ -111,14 +110,15 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
 def response(page_id: int | None, url: str | None, body: str | None) -> bytes:
     """A response record of a page."""
     payload = (body or "").encode("utf-8", "surrogatepass")
+    own = digest(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
     headers = [
         ("WARC-Type", "response"),
-        ("WARC-Record-ID", record_id("response", f"{'' if page_id is None else page_id} {digest(payload)} {url or ''}")),
+        ("WARC-Record-ID", record_id("response", f"{'' if page_id is None else page_id} {own} {url or ''}")),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", one_line(url or "")),
         ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", digest(payload)),
+        ("WARC-Payload-Digest", own),
         ("WARC-Block-Digest", digest(block)),
         *([] if page_id is None else [("Page-ID", str(page_id))]),
         ("Content-Length", str(len(block))),
@@ -145,29 +145,35 @@ def text_and_links(source: str) -> tuple[str, int]:
         return end
 
     while found := MARKUP.search(source, at):
-        comment, slash, name = found.groups()
-        name = (name or "").lower()
-        out.append(source[at : found.start()])
-        if comment and (end := behind("-->", found.end())):
-            out.append(" ")
-            at = end
-            continue
-        close = behind(">", found.end())
-        if not close:
-            at = found.start()
+        comment, slash, name, closed = found.groups()
+        begin, close = found.span()
+        out.append(source[at:begin])
+        if comment:
+            if end := behind("-->", close):
+                out.append(" ")
+                at = end
+                continue
+            close = closed = behind(">", close)
+        if not closed:
+            at = begin
             break
-        if name in HIDDEN and not slash and (end := behind(name, close)):
-            out.append(" ")
-            at = end
+        at = close
+        if not name:
             continue
+        name = name.lower()
         if name in BREAKS:
             out.append("\n")
-        elif name == "a" and not slash:
-            links += bool(HREF.search(source, found.end(), close))
-        at = close
+        elif slash:
+            continue
+        elif name == "a":
+            links += bool(HREF.search(source, found.end(3), close))
+        elif name in HIDDEN and (end := behind(name, close)):
+            out.append(" ")
+            at = end
     out.append(source[at:])
     text = "".join(out)
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text) if "&" in text else text)).strip(), links
+    lines = (" ".join(x.split()) for x in (html.unescape(text) if "&" in text else text).split("\n"))
+    return "\n".join(filter(None, lines)), links
 
 
 def derived(kind: str, source: Record, content_type: str, block: bytes) -> Record:
