@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from quern.llm.shared import arrow_map, blocks, table
 
 #: Pieces whose ids a worker remembers between blocks, and characters of those that it does.
-KNOWN_PIECES, KNOWN_CHARS = 150_000, 64
+KNOWN_PIECES, KNOWN_CHARS = 60_000, 64
 END = -1
 #: Characters of texts whose new pieces are merged together.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Texts of these characters alone are cut by the standard library's faster engine; its classes below are those of the
 #: pattern within them (letters up to U+024F, digits with superscripts and fractions).
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
@@ -179,14 +179,16 @@ class Encoder:
             return self.plain_pieces(text)
         return [p for part in self.voc.cut.split(text) for p in ([part] if part in self.voc.special else self.plain_pieces(part))]
 
-    def block(self, texts: list[str | None]) -> list[list]:
-        """What is kept of each piece of each text."""
-        cut = [self.pieces(t) if t else [] for t in texts]
+    def block(self, texts: list[str | None]) -> Iterator[list]:
+        """What is kept of each piece of each text, a text at a time; to be used up before the next block."""
+        same: dict[str, str] = {}  # equal pieces are held as one string
+        cut = [list(map(same.setdefault, found, found)) for t in texts for found in [self.pieces(t) if t else []]]
         for p in self.long:
             del self.known[p]
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        new = sorted(set().union(*cut) - self.known.keys())
+        new = sorted(same.keys() - self.known.keys())
+        del same
         self.long = [p for p in new if len(p) > KNOWN_CHARS]
         plain = [p for p in new if p not in self.voc.special]
         flat, sizes = self.merged(plain)
@@ -197,7 +199,7 @@ class Encoder:
         for p in new:
             if p in self.voc.special:
                 self.known[p] = self.form([self.voc.special[p]])
-        return [list(map(self.known.__getitem__, c)) for c in cut]
+        return (list(map(self.known.__getitem__, c)) for c in cut)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [[i for ids in text for i in ids] for text in self.block(texts)]
@@ -241,13 +243,12 @@ def digests(docs: DataFrame, path: str | None = None, id_: str = "doc_id", text:
         # of each piece: how many ids, the ids as text, and the bytes that they decode to
         encoder = Encoder(voc, lambda ids: (len(ids), ",".join(map(str, ids)).encode(), b"".join(map(voc.bytes.__getitem__, ids))))
         for docs_, texts in blocks(batches, most=BLOCK):
-            rows = encoder.block(texts)
-            yield {
-                "doc_id": docs_,
-                "n_tokens": [sum(x[0] for x in r) for r in rows],
-                "ids_sha256": [hashlib.sha256(b",".join([x[1] for x in r])).hexdigest() for r in rows],
-                "decoded_sha256": [hashlib.sha256(b"".join([x[2] for x in r]).decode("utf-8", "replace").encode()).hexdigest() for r in rows],
-            }
+            counts, ids, texts_ = [], [], []
+            for row in encoder.block(texts):
+                counts.append(sum([x[0] for x in row]))
+                ids.append(hashlib.sha256(b",".join([x[1] for x in row])).hexdigest())
+                texts_.append(hashlib.sha256(b"".join([x[2] for x in row]).decode("utf-8", "replace").encode()).hexdigest())
+            yield {"doc_id": docs_, "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts_}
 
     rows = docs.select(F.col(id_).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return arrow_map(rows, work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

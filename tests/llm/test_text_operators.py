@@ -65,6 +65,17 @@ def test_bpe_digests_and_edges(spark, tokenizer):
     assert bpe.digests(documents(spark, [])).count() == 0
 
 
+def test_bpe_holds_equal_pieces_once():
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.default_vocabulary()), len)
+    text = "some longer words " * 50_000
+    list(encoder.block([text]))
+    tracemalloc.start()
+    cut = encoder.block([text] * 4)  # 600,000 pieces
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, cut)) >= 600_000 and most < 40 * 600_000
+
+
 def test_bpe_encode_decode_round_trip(spark):
     texts = [EN, DE, "", "<|endoftext|>"]
     back = bpe.decoded(bpe.encoded(documents(spark, texts))).collect()
@@ -712,6 +723,19 @@ def test_media_round_trip(spark):
     assert media.features(media.stored(documents(spark, []))).count() == 0
 
 
+def test_decontamination_starts_no_other_python_workers(spark, monkeypatch):
+    docs = documents(spark, [EN, "other words altogether"])
+    bench = spark.createDataFrame([(1, EN)], "item_id bigint, text string")
+    plain = spark.sparkContext.parallelize
+
+    def parallelize(rows, *more):
+        assert not len(rows), "rows that Python workers of another kind unpickle"
+        return plain(rows, *more)
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", parallelize)
+    assert [x.doc_id for x in decontaminate.keep_unseen(docs, bench).collect()] == [1]
+
+
 # -- WARC
 
 
